@@ -5,14 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pii, secrets, urls
+from . import langid, pii, secrets, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = langid.held_out(F.col("doc_id"), 5, 0)
+    model = langid.fit(docs.where(~apart))
+    return langid.predict(docs, model).select(
+        "doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(~langid.held_out(F.col("doc_id"), 4, 2)))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -26,7 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_personal_data, op9_secret_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_personal_data, op9_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
