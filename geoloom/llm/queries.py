@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, secrets, substrings, toxicity, urls
+from . import jaccard, langid, pii, secrets, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -54,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_personal_data, op8_substring_dedup, op9_secret_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_ngram_jaccard, op6_personal_data, op8_substring_dedup, op9_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
