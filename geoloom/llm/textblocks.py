@@ -34,6 +34,15 @@ def lower_table() -> np.ndarray:
     return table
 
 
+def plain_table() -> np.ndarray:
+    """ASCII letters lower-cased, digits and all other scripts kept, the rest blank."""
+    table = lower_table()
+    plain = np.zeros(256, bool)
+    plain[97:123] = plain[48:58] = plain[128:] = plain[65:91] = True
+    table[~plain] = 0x20
+    return table
+
+
 class Block(NamedTuple):
     """Documents ``first`` to ``last`` of a batch as one run of bytes."""
 
