@@ -73,7 +73,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op4_quality_rules, op5_ngram_jaccard, op6_personal_data, op7_source_mixing, op8_substring_dedup, op9_secret_scan, op10_url_filter)}
+    import corpus_pipeline
+
+    named = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op4_quality_rules, op5_ngram_jaccard, op6_personal_data, op7_source_mixing, op8_substring_dedup, op9_secret_scan, op10_url_filter)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
