@@ -11,12 +11,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import codec, planar
 
-PARTS = "array<array<struct<x:double,y:double>>>"
-BBOX = "struct<minx:double,miny:double,maxx:double,maxy:double>"
-POINT = "struct<x:double,y:double>"
+def numbers(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+# Type objects, as a type's text could only be read with a session at hand.
+POINT = numbers("x", "y")
+PARTS = T.ArrayType(T.ArrayType(POINT))
+BBOX = numbers("minx", "miny", "maxx", "maxy")
+BINARY = T.BinaryType()
 
 
 def geometry_type(geom: Column) -> Column:
@@ -56,7 +63,7 @@ def bbox_of(geom: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["minx", "miny", "maxx", "maxy"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_wkt(geom: pd.Series) -> pd.Series:
     def one(data):
         try:
@@ -67,7 +74,7 @@ def to_wkt(geom: pd.Series) -> pd.Series:
     return geom.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def from_wkt(text: pd.Series) -> pd.Series:
     def one(value):
         try:
@@ -78,7 +85,7 @@ def from_wkt(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def point(x: pd.Series, y: pd.Series) -> pd.Series:
     """POINT of two numbers, for a whole batch at once; null where one is missing."""
     rows = np.zeros(len(x), np.dtype([("order", "u1"), ("code", "<u4"), ("x", "<f8"), ("y", "<f8")]))
@@ -88,13 +95,13 @@ def point(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([None if m else raw[i * 21 : i * 21 + 21] for i, m in enumerate(missing)], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def line(points: pd.Series) -> pd.Series:
     """LINESTRING of an array of (x, y)."""
     return points.map(lambda p: None if p is None else codec.encode(("LINESTRING", [(v["x"], v["y"]) for v in p])))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def box(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
     rows = zip(minx, miny, maxx, maxy, strict=True)
     return pd.Series([codec.encode(("POLYGON", [[(a, b), (c, b), (c, d), (a, d), (a, b)]])) for a, b, c, d in rows], dtype=object)
@@ -139,14 +146,14 @@ def point_on_surface(geom: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None) if r is None else r for r in rows], columns=["x", "y"])
 
 
-@F.pandas_udf("struct<x:double,y:double,angle:double>")
+@F.pandas_udf(numbers("x", "y", "angle"))
 def longest_segment(geom: pd.Series) -> pd.DataFrame:
     """Middle of the longest segment and its readable angle in degrees, above -90 and up to 90."""
     rows = [planar.longest_segment(codec.decode(g)) if g is not None else None for g in geom]
     return pd.DataFrame([(None,) * 3 if r is None else r for r in rows], columns=["x", "y", "angle"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def clip_to_convex(geom: pd.Series, window: pd.Series) -> pd.Series:
     """The polygonal part of a geometry inside a convex polygon; null where nothing with an area is left."""
     known: dict[bytes, np.ndarray] = {}
@@ -162,7 +169,7 @@ def clip_to_convex(geom: pd.Series, window: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def hull_of(points: pd.Series) -> pd.Series:
     """Convex hull polygon of an array of (x, y); null without three that are not in line."""
 
@@ -173,7 +180,7 @@ def hull_of(points: pd.Series) -> pd.Series:
     return points.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def ordered_polygon(points: pd.Series) -> pd.Series:
     """Closed polygon of positions in their order; null if they make no simple ring."""
 
@@ -187,7 +194,7 @@ def ordered_polygon(points: pd.Series) -> pd.Series:
 def simplify(tolerance: float):
     """Douglas-Peucker on lines and rings of 32 positions or more; rings keep four positions."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BINARY)
     def reduce(geom: pd.Series) -> pd.Series:
         def one(data):
             if data is None:
@@ -202,7 +209,7 @@ def simplify(tolerance: float):
     return reduce
 
 
-@F.pandas_udf("array<binary>")
+@F.pandas_udf(T.ArrayType(BINARY))
 def triangles_of(geom: pd.Series) -> pd.Series:
     """Triangles that cover a polygon without its holes."""
 
@@ -218,7 +225,7 @@ def triangles_of(geom: pd.Series) -> pd.Series:
 def move_vertex(index: int, x: float, y: float):
     """Position ``index`` over all sequences moved; a ring's first and last move together."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BINARY)
     def move(geom: pd.Series) -> pd.Series:
         def one(data):
             if data is None:

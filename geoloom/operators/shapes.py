@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codec, geometry, planar
 from ..model import FID, GEOM, Field, Layer, LayerError, fail_if
@@ -39,7 +40,7 @@ def hull_by_group(lay: Layer, group: str) -> Layer:
     return Layer(df, replace(lay.meta, name=f"{lay.meta.name}_hulls", geometry_type="POLYGON", fields=fields))
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(T.ArrayType(geometry.POINT))
 def corner_points(values: pd.Series) -> pd.Series:
     """The corners of the hull, or all the points where there is none."""
 
@@ -162,7 +163,7 @@ def buffer_points(distance: float, segments: int = 8):
     angles = -np.arange(4 * segments + 1) * (np.pi / 2 / segments)
     circle = np.stack([np.cos(angles), np.sin(angles)], 1) * distance
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(geometry.BINARY)
     def grow(geom: pd.Series) -> pd.Series:
         def one(data):
             if data is None or distance <= 0:

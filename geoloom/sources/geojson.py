@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..functions.geometry import bbox_of
+from ..functions.geometry import BINARY, bbox_of
 from ..model import FID, GEOM, Layer, LayerError, LayerMeta, infer_fields
 from ..operators.combine import numbered
 
 MAX_FEATURE = 64 << 20
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def geometry_from(text: pd.Series) -> pd.Series:
     """WKB of a GeoJSON geometry's text; null for null and for what is none."""
 
