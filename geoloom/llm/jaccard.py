@@ -353,26 +353,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, label): the smallest id reachable from each of ``nodes`` over ``edges`` (a, b).
 
-    Labels spread to neighbours and then jump to their own label's label, so
-    long chains take a logarithmic number of rounds; each round is one
-    checkpoint.
+    In each round every node takes the smallest of its neighbours and then
+    that one's own choice; the edges are contracted to the nodes chosen, and
+    those within one node go.  A star is one round, a long chain a logarithmic
+    number, and a round only reads what the last one left.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = nodes.select("doc_id", F.col("doc_id").alias("label"))
-    while True:
-        near = both.join(labels.withColumnRenamed("doc_id", "a"), "a").groupBy("b").agg(F.min("label").alias("near"))
-        spread = labels.join(near.withColumnRenamed("b", "doc_id"), "doc_id", "left").select(
-            "doc_id", F.least("label", F.coalesce("near", "label")).alias("next"), "label"
-        )
-        target = spread.select(F.col("doc_id").alias("next"), F.col("next").alias("jump"))
-        jumped = cut(
-            spread.join(target, "next", "left").select(
-                "doc_id", F.least("next", F.coalesce("jump", "next")).alias("label"), (F.col("label") != F.col("next")).alias("moved")
+    rest = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while rest.limit(1).count():
+        ends = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = ends.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to"))
+        onward = least.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        step = cut(least.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")))
+        labels = cut(
+            labels.join(step.select(F.col("a").alias("label"), "to"), "label", "left").select(
+                "doc_id", F.coalesce("to", "label").alias("label")
             )
         )
-        labels = jumped.select("doc_id", "label")
-        if not jumped.where("moved").limit(1).count():
-            return labels
+        moved = rest.join(step, "a").select(F.col("to").alias("x"), "b")
+        moved = moved.join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        rest = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return labels
 
 
 def _linked(candidates: DataFrame, percent: int) -> DataFrame:
