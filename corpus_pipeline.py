@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import decontaminate, jaccard, langid, mixing, pii
-from geoloom.llm.session import small, stored
+from geoloom.llm.session import small, small_batches, stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the language model, learned from the labelled ones, does not reject."""
+    small_batches(spark)
     return langid.keep_known(docs, langid.fit(docs.select("doc_id", "text", "lang")))
 
 
@@ -35,11 +36,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, whole or edited."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with marks in place of personal data; ``n_chars`` follows the text."""
+    small_batches(spark)
     clean = pii.redact_documents(docs)
     if "n_chars" not in docs.columns:
         return clean

@@ -46,15 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks
-from .session import cut, small
+from .session import cut, small, small_batches
 
 K, PERCENT = 5, 80
 #: Documents that have a frequent token.
 FREQUENT = 24
 #: Bytes of text to a bucket of token counts.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of text, and documents, packed together.
-CHUNK_BYTES, CHUNK_DOCS = 24 << 20, 60_000
+CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 60_000
 _LOW = np.uint64(0xFFFF)
 
 
@@ -413,6 +413,7 @@ def _linked(candidates: DataFrame, percent: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summaries = cut(_summaries(rows, k))
     full = summaries.where("n > 0 and doc_id is not null")

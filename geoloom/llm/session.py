@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of text that travel to a Python worker at once; ten thousand, Spark's default, would be tens of megabytes.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` at most in this session, so a worker's memory follows its texts and not their number."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Use ``spark.checkpoint.dir``; only where it is unset (tests on one machine) a folder of our own."""
     context = spark.sparkContext

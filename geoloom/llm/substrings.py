@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks
-from .session import cut
+from .session import cut, small_batches
 
 SIZE = 50
 CORE = 12
@@ -233,6 +233,7 @@ def _hot_windows(marked: DataFrame, size: int, core: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, size: int = SIZE, core: int = CORE, hot_docs: int = 1000) -> DataFrame:
     """(doc_id, key, ranges): the words to remove, ``key`` being xxhash64 of the text; documents without any are left out."""
+    small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"
     )
