@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, pii, quality, secrets, substrings, toxicity, urls
+from . import decontaminate, jaccard, langid, mixing, oracles, pii, quality, secrets, substrings, toxicity, urls
 from .session import small_batches
 
 
@@ -77,9 +77,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    named = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op4_quality_rules, op5_ngram_jaccard, op6_personal_data, op7_source_mixing, op8_substring_dedup, op9_secret_scan, op10_url_filter)}
+    ops = (
+        op1_language_id,
+        op2_decontamination,
+        op3_toxicity,
+        op4_quality_rules,
+        op5_ngram_jaccard,
+        op6_personal_data,
+        op7_source_mixing,
+        op8_substring_dedup,
+        op9_secret_scan,
+        op10_url_filter,
+    )
+    named = {f.__name__: f for f in ops}
     return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
