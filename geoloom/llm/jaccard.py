@@ -353,18 +353,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, label): the smallest id reachable from each of ``nodes`` over ``edges`` (a, b).
 
-    In each round every node takes the smallest of its neighbours and then
-    that one's own choice; the edges are contracted to the nodes chosen, and
-    those within one node go.  A star is one round, a long chain a logarithmic
-    number, and a round only reads what the last one left.
+    In each round every node takes the first of its neighbours and itself and
+    then that one's own choice; the edges are contracted to the nodes chosen,
+    and those within one node go.  First is the smallest id in even rounds,
+    which ends a star around it at once, and the smallest hash in odd ones,
+    which halves a chain in whatever order its ids are; so rounds are
+    logarithmic in number, and each only reads what the last one left.
     """
     labels = nodes.select("doc_id", F.col("doc_id").alias("label"))
     rest = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    number = 0
     while rest.limit(1).count():
+        rank = lambda c: F.struct((F.xxhash64(c) if number % 2 else F.col(c)).alias("r"), F.col(c).alias("id"))  # noqa: B023, E731
         ends = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ends.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to"))
-        onward = least.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        step = cut(least.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")))
+        first = ends.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near")["id"].alias("to"))
+        onward = first.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        step = cut(first.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")))
         labels = cut(
             labels.join(step.select(F.col("a").alias("label"), "to"), "label", "left").select(
                 "doc_id", F.coalesce("to", "label").alias("label")
@@ -373,7 +377,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = rest.join(step, "a").select(F.col("to").alias("x"), "b")
         moved = moved.join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
         rest = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return labels
+        number += 1
+    smallest = labels.groupBy("label").agg(F.min("doc_id").alias("smallest"))
+    return cut(labels.join(smallest, "label").select("doc_id", F.col("smallest").alias("label"))) if number else labels
 
 
 def _linked(candidates: DataFrame, percent: int) -> DataFrame:
