@@ -29,13 +29,3 @@ def test_stages(spark, sf_dir):
         if name != "mixing":
             assert docs.columns == columns
     assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in kept["personal_data"].collect()}
-
-
-def test_stages_on_odd_rows(spark, odd, none, sf_dir):
-    docs = stored(odd)
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
-        if name == "near_duplicates":
-            assert {r.doc_id for r in docs.collect()} <= {4, 5, None, 8}
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, none, sf_dir).count() == 0
