@@ -1,12 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased, so case and punctuation do
-not hide a copy.  Each test item is cut into stretches of ``stretch``
-positions; of each stretch the n-gram with the fewest documents in the whole
-corpus is a seed.  A document that has a seed is aligned with the item around
-it: match +2, mismatch -1, gap -1, best local score, divided by the score of a
-full copy.  Pairs from ``least`` on are reported.  Edits, insertions and
-deletions break some seeds but not all, and cost the alignment little.
+not hide a copy.  Every n-gram of a test item that some document has is a
+seed; those that no document has, most of a benchmark, are not sent.  A
+document that has a seed is aligned with the item around it: match +2,
+mismatch -1, gap -1, best local score, divided by the score of a full copy.
+Pairs from ``least`` on are reported.  The window around a seed holds every
+alignment through it that can reach ``least``, and a window is only left out
+where too few of the item's words are in it for that.  So all pairs are found
+but those whose alignment has no ``n`` words in a row (with every third word
+replaced an item still scores 0.5, and is not seen).
 
 The test items are a stated query set: they are taken in blocks of at most
 ``block_chars`` characters, each block against all documents, so what is sent
@@ -35,10 +38,12 @@ from pyspark.sql import functions as F
 
 from . import textblocks
 
-N, STRETCH, LEAST = 3, 4, 0.45
+N, LEAST = 3, 0.45
 BLOCK_CHARS = 8 << 20
 #: Cells of the alignments that are computed together.
 CELLS = 1 << 20
+#: Words of the windows, and hits of seeds, that are looked at together.
+HITS = 1 << 19
 _SIEVE_BITS = 20
 
 
@@ -105,7 +110,7 @@ def _frequencies(docs: DataFrame, grams: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _seeded(docs: DataFrame, texts: pa.Array, n: int, stretch: int) -> Items | None:
+def _seeded(docs: DataFrame, texts: pa.Array, n: int) -> Items | None:
     parts, bounds = [], [0]
     for block in textblocks.blocks(texts):
         words, own = _word_hashes(block)
@@ -118,11 +123,7 @@ def _seeded(docs: DataFrame, texts: pa.Array, n: int, stretch: int) -> Items | N
     distinct = np.unique(grams)
     frequency = _frequencies(docs, distinct, n)[np.searchsorted(distinct, grams)]
     item = np.searchsorted(bounds, place, "right") - 1
-    part = (place - bounds[item]) // stretch
-    order = np.lexsort((place, frequency, part, item))
-    new = np.ones(len(order), bool)
-    new[1:] = (item[order][1:] != item[order][:-1]) | (part[order][1:] != part[order][:-1])
-    chosen = order[new]
+    chosen = np.flatnonzero(frequency)
     chosen = chosen[np.argsort(grams[chosen], kind="stable")]
     return Items(
         words, bounds, grams[chosen], item[chosen], (place - bounds[item])[chosen], _sieve(grams[chosen])
@@ -148,24 +149,58 @@ def smith_waterman(items: np.ndarray, lengths: np.ndarray, windows: np.ndarray)
     return best
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _may_reach(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, items: Items, item: np.ndarray, least: float) -> np.ndarray:
+    """Which windows hold so many of their item's words that the score can reach ``least``: a score is no more than their share."""
+    length = np.diff(items.bounds)[item]
+    out = np.zeros(len(lo), bool)
+    total = np.cumsum(hi - lo + length)
+    begin = 0
+    while begin < len(lo):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + HITS, "right")))
+        some = slice(begin, end)
+        number = np.arange(end - begin)
+        of_item, of_window = np.repeat(number, length[some]), np.repeat(number, (hi - lo)[some])
+        spread = textblocks.mix(number.astype(np.uint64))
+        own = items.words[_ranges(items.bounds[item[some]], length[some])] ^ spread[of_item]
+        there = words[_ranges(lo[some], (hi - lo)[some])] ^ spread[of_window]
+        out[some] = np.bincount(of_item, np.isin(own, there), end - begin) / length[some] >= least
+        begin = end
+    return out
+
+
 def align(block: textblocks.Block, items: Items, n: int, least: float):
     """(document, item, score) of the block's pairs that reach ``least``; the best of a pair's places counts."""
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     words, bounds = _word_hashes(block)
     grams, place = _grams(words, bounds, n)
     hit = _found(grams, items.seeds, items.sieve)
-    if not len(hit):
-        return nothing
     lo = np.searchsorted(items.seeds, grams[hit], "left")
     count = np.searchsorted(items.seeds, grams[hit], "right") - lo
-    entry = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    at = np.repeat(place[hit], count)
-    item, doc = items.item[entry], np.searchsorted(bounds, at, "right") - 1
-    start = at - items.place[entry]
+    doc = np.searchsorted(bounds, place[hit], "right") - 1
+    # Documents are taken together as long as their hits fit.
+    borders = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+    total = np.concatenate([[0], np.cumsum(count)])[borders]
+    out, begin = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    while begin < len(borders) - 1:
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + HITS, "right")) - 1)
+        some = slice(borders[begin], borders[end])
+        entry, at = _ranges(lo[some], count[some]), np.repeat(place[hit][some], count[some])
+        out.append(_aligned(words, bounds, items, items.item[entry], np.repeat(doc[some], count[some]), at - items.place[entry], least))
+        begin = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _aligned(words: np.ndarray, bounds: np.ndarray, items: Items, item: np.ndarray, doc: np.ndarray, start: np.ndarray, least: float):
+    """``align`` for hits of seeds; ``start`` is where the item would begin."""
     order = np.lexsort((start, item, doc))
     item, doc, start = item[order], doc[order], start[order]
     length = np.diff(items.bounds)[item]
-    slack = length // 4 + 2
+    # A score of ``least`` leaves room for so many gaps.
+    slack = np.ceil(2 * (1 - least) * length).astype(np.int64)
     new = np.ones(len(start), bool)
     new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > slack[1:])
     first = np.flatnonzero(new)
@@ -173,7 +208,9 @@ def align(block: textblocks.Block, items: Items, n: int, least: float):
     item, doc, length, slack = item[first], doc[first], length[first], slack[first]
     lo = np.maximum(bounds[doc], start[first] - slack)
     hi = np.minimum(bounds[doc + 1], start[last] + length + slack)
-    score = np.zeros(len(first))
+    may = _may_reach(words, lo, hi, items, item, least)
+    item, doc, length, lo, hi = item[may], doc[may], length[may], lo[may], hi[may]
+    score = np.zeros(len(item))
     order = np.argsort(hi - lo, kind="stable")
     begin = 0
     while begin < len(order):
@@ -198,7 +235,7 @@ def align(block: textblocks.Block, items: Items, n: int, least: float):
     return doc[new], item[new], score[new]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, stretch: int, block_chars: int) -> Iterator[tuple[pa.Array, Items]]:
+def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, block_chars: int) -> Iterator[tuple[pa.Array, Items]]:
     """The benchmark's items in blocks, with their seeds."""
     items = benchmark.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -206,19 +243,19 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, stretch: int, block_c
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").toArrow()
         if len(rows):
-            seeded = _seeded(docs, rows["text"].combine_chunks(), n, stretch)
+            seeded = _seeded(docs, rows["text"].combine_chunks(), n)
             if seeded is not None:
                 yield rows["item_id"].combine_chunks(), seeded
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, n: int = N, stretch: int = STRETCH, least: float = LEAST, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = LEAST, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """(doc_id, item_id, score): the documents that hold a test item or an edited copy of it; a full copy scores 1."""
     id_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     shape = f"doc_id {id_kind}, item_id {item_kind}, score double"
     out = docs.sparkSession.createDataFrame([], shape)
-    for names, items in _blocks(docs, benchmark, n, stretch, block_chars):
+    for names, items in _blocks(docs, benchmark, n, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast((names, vars(items)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -238,12 +275,12 @@ def find_contamination(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, n: int = N, stretch: int = STRETCH, least: float = LEAST, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = LEAST, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
     at = docs.columns.index("text")
     kept = docs
-    for _, items in _blocks(docs, benchmark, n, stretch, block_chars):
+    for _, items in _blocks(docs, benchmark, n, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(vars(items))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -185,6 +185,42 @@ def test_copies_and_edited_copies_are_found(spark):
     assert left == set(range(60)) - {d for d, _ in expected}
 
 
+@pytest.mark.parametrize(("every", "exact"), [(4, 0), (4, 1), (5, 0), (5, 1), (6, 0), (6, 1)])
+def test_copies_with_regular_edits_are_found(spark, every, exact):
+    """An edit in each stretch of words, alone or beside an exact copy."""
+    rng = random.Random(every)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(i, words(n)) for i, n in enumerate((20, 40, 80))]
+    docs = []
+    for i, text in items:
+        edited = [f"edit{rng.random()}" if j % every == every - 1 else w for j, w in enumerate(text)]
+        docs.append((10 + i, words(60) + edited + words(60)))
+        docs += [(20 + i, words(60) + text + words(60))] * exact
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, benchmark).collect()}
+    assert got == {(d + i, i) for d in (10, 20)[: 1 + exact] for i in range(3)}
+
+
+def test_scores_are_those_of_whole_documents(spark):
+    """Replaced, inserted and dropped words in texts of few words: every pair with three aligned words in a row."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    items, docs = [(i, words(rng.randint(5, 30))) for i in range(10)], []
+    for i in range(60):
+        text = []
+        for w in items[i % 10][1]:
+            r = rng.random()
+            text += [w] if r < 0.75 else words(1) if r < 0.85 else [] if r < 0.9 else [w, *words(rng.randint(1, 8))]
+        docs.append((i, words(rng.randint(0, 80)) + text + words(rng.randint(0, 80))))
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    best = {(d, i): plain_alignment(w, t) / (2 * len(w)) for d, t in docs for i, w in items if grams(w) & grams(t)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_contamination(docs, benchmark).collect()}
+    assert len(got) > 30 and got == {k: v for k, v in best.items() if v >= decontaminate.LEAST}
+
+
 def test_contamination_on_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (None, None), (3, ""), (4, "one two")], "item_id long, text string")
     rows = decontaminate.find_contamination(odd, benchmark).collect()
