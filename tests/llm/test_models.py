@@ -56,6 +56,61 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def plain_ratios(rows, sigmas):
+    """log p(toxic) - log p(ordinary) by word, from (text, toxic), with the words themselves for keys."""
+    pairs = {}
+    for text, toxic in rows:
+        words = re.findall(r"[a-z0-9]+", text)
+        for pair in set(zip([None, *words], words)):
+            pairs.setdefault(pair, [0, 0])[1 - toxic] += 1
+    counts = [sum(c[k] for c in pairs.values()) for k in (0, 1)]
+    total = sum(counts)
+    types, seen, expected = Counter(), [Counter(), Counter()], [Counter(), Counter()]
+    for (_, word), c in pairs.items():
+        types[word] += 1
+        for k in (0, 1):
+            seen[k][word] += c[k] > 0
+            expected[k][word] += 1 - (1 - counts[k] / total) ** sum(c)
+    kept, log, every = [], [], sum(types.values())
+    for k in (0, 1):
+        n = sum(seen[k].values())
+        kept.append({w: max(seen[k][w] - expected[k][w] - sigmas * math.sqrt(expected[k][w] + 1), 0) / n for w in types})
+        left = 1 - sum(kept[k].values())
+        log.append({w: math.log(kept[k][w] + left * n / every) for w, n in types.items()})
+    return {w: log[0][w] - log[1][w] for w in types}
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """More words than 2 ** 17, and one that only toxic texts have, in 20 contexts."""
+    rng, rows = random.Random(13), []
+    for i in range(2000):
+        words = [f"n{i}x{j}" for j in range(75)] + [f"c{rng.randrange(300)}" for _ in range(25)]
+        rng.shuffle(words)
+        if i % 5 == 0 and i < 100:
+            words[50] = "vile"
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_ratios_are_those_of_words_that_share_no_counts(spark, wide, parts):
+    rows, df = wide
+    stats = toxicity._statistics(toxicity.count_pairs(df), 0.2).cache()
+    model = toxicity._model(stats, 0.2, toxicity.SIGMAS, toxicity.MODEL_WORDS)
+    assert model.parts == 1
+    model.parts = parts
+    want = plain_ratios([(t, y) for _, t, y in rows], toxicity.SIGMAS)
+    assert want["vile"] > 1 and len(want) > 1 << 17
+    words = ["vile", "c1", "c2", "n5x3", "unknown"]
+    texts = spark.createDataFrame([(w, w) for w in words] + [("both", "c1 vile C1 vile"), ("both", "c1 vile C1 vile"), ("none", None)], "name string, text string")
+    got = [tuple(r) for r in model.means(texts, "name").collect()]
+    want["unknown"] = want["n5x3"]
+    want["both"] = (2 * want["c1"] + want["vile"]) / 3
+    assert len(got) == 8 and ("none", None) in got
+    assert all(x == pytest.approx(want[name], abs=1e-4) for name, x in got if name != "none")
+
+
 def plain_figures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, again = set(), 0
