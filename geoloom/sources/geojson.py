@@ -40,17 +40,16 @@ def crs_of(head: str) -> str:
 
 
 def _features(rows: DataFrame, properties: str | None) -> DataFrame:
-    """(fid, the properties' fields, geom) from (fid, feature text)."""
-    spark = rows.sparkSession
+    """(fid, the properties' fields, geom) from (fid, feature text); without a schema, the one that all features agree on."""
+    text = F.get_json_object("feature", "$.properties")
     if properties is None:
-        sample = rows.select(F.get_json_object("feature", "$.properties").alias("p")).where("p is not null").limit(1000)
-        properties = spark.read.json(sample.rdd.map(lambda r: r[0])).schema.simpleString() if sample.head(1) else "struct<>"
-    parsed = rows.select(
-        FID,
-        F.from_json(F.get_json_object("feature", "$.properties"), properties).alias("p") if properties != "struct<>" else F.lit(None).alias("p"),
-        geometry_from(F.get_json_object("feature", "$.geometry")).alias(GEOM),
-    )
-    return parsed.select(FID, *(["p.*"] if properties != "struct<>" else []), GEOM)
+        # Properties that are no object have no fields and say nothing about the others'.
+        texts = rows.select(text.alias("p")).where("p like '{%'").rdd.map(lambda r: r[0])
+        properties = rows.sparkSession.read.json(texts, mode="DROPMALFORMED").schema
+    elif properties == "struct<>":
+        properties = None
+    parsed = rows.select(FID, F.from_json(text, properties).alias("p") if properties else F.lit(None).alias("p"), geometry_from(F.get_json_object("feature", "$.geometry")).alias(GEOM))
+    return parsed.select(FID, *(["p.*"] if properties else []), GEOM)
 
 
 def parse_lines(lines: DataFrame, properties: str) -> DataFrame:

@@ -229,3 +229,16 @@ def test_project(graded, tmp_path):
         project.set_geometry("layer", 1, b"")
     project.save(str(tmp_path / "p.json"))
     assert Project.load(str(tmp_path / "p.json"))[2][0].display_name == "Shown"
+
+
+def test_geojson_schema_covers_all_features(spark, tmp_path):
+    """A property that comes late, a type that changes late, and properties that are no object."""
+    items = [{"type": "Feature", "properties": {"n": i}, "geometry": None} for i in range(1200)]
+    items += [{"type": "Feature", "properties": {"n": "text", "late": {"x": 1}}, "geometry": None}, {"type": "Feature", "properties": [{"no": 1}], "geometry": None}]
+    (tmp_path / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": items}))
+    (tmp_path / "s.geojsonl").write_text("\n".join(json.dumps(i) for i in items))
+    for lay in (geojson.read_collection(spark, str(tmp_path / "c.geojson")), geojson.read_sequence(spark, str(tmp_path / "s.geojsonl"))):
+        assert lay.df.columns == ["fid", "late", "n", "geom"]
+        rows = {r.fid: r for r in lay.df.collect()}
+        assert len(rows) == 1202 and [rows[i + 1].n for i in range(1200)] == [str(i) for i in range(1200)]
+        assert rows[1201].n == "text" and rows[1201].late.x == 1 and rows[1202].n is None
