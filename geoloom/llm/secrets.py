@@ -113,7 +113,7 @@ def find_secrets_in(text: str, patterns: dict[str, re.Pattern]) -> list[tuple[st
             continue
         for s, e in entropy_spans(m[0]):
             s, e = s + m.start(), e + m.start()
-            if not any(s < y and x < e for x, _, y in base):
+            if not any(x <= s and e <= y for x, _, y in base):
                 spans.append((s, 3, e))
     return [(KINDS[kind], start, end) for start, kind, end in sorted(spans)]
 

@@ -107,6 +107,15 @@ def test_random_strings_are_found_and_names_are_not():
         assert not [s for s in secrets.find_secrets_in(fine, patterns) if s[0] == "entropy"], fine
 
 
+def test_a_base_span_inside_a_secret_does_not_hide_the_rest():
+    """Only a base span around an entropy span takes its place."""
+    patterns = secrets.compiled()
+    token = "q7Rt0Zk3Lm9XvP" + "0a1b2c3d4e5f6789" + "Qw8Ty4Hs6Jd2Gz5"
+    assert secrets.find_secrets_in(f"x {token} y", patterns) == [("entropy", 2, 47), ("hex", 16, 32)]
+    covered = secrets.find_secrets_in("token=q7Rt0Zk3Lm9Xv2Bc8Nw1Hd5Gf4", patterns)
+    assert [s[0] for s in covered] == ["assign"]
+
+
 def test_secret_query_on_odd_rows(odd, none):
     rows = secrets.digest(secrets.find_secrets(odd)).collect()
     assert len(rows) == odd.count() and all(r.n_assign == 0 for r in rows)
