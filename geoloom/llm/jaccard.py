@@ -25,11 +25,21 @@ How it scales:
   task's documents are the tokens that others have too;
 * candidates are first verified against the smallest document of the key that
   they share most keys with, which joins up a group of copies with one
-  comparison a document; only keys that still hold several components are then
-  compared pair by pair, where sizes and counts of shared tokens allow a link.
-  There is no cap on keys, candidates or partners.
-
-Defined results: documents without words, without text or with a null id have
+  comparison a document;
+* keys that then still hold several components are searched further.  With at
+  most ``LIGHT`` documents, their pairs are taken.  With more, the combinations
+  grow from two tokens to many: a document's tokens are dealt by hash to groups
+  of six cells, so many groups that a link leaves one with two cells touched at
+  most, and every four cells of a group are a key, made of all their tokens.
+  How many tokens two documents may differ in follows from their sizes and
+  their tokens of no one else, so each key is for two ranges of that budget;
+* of two documents with a common key a row is made only if their sizes, their
+  budgets and the parity bits of their tokens (which differ in no more places
+  than the sets do) allow a link.  There is no cap on keys, candidates or
+  partners.  Documents in great number that differ from each other by hardly
+  more than a link allows still cost a look at each pair of them.
+
+Defined results: ties (a similarity of exactly ``percent``) link; documents without words, without text or with a null id have
 an empty set or stand alone; with fewer than ``k`` words the whole sequence is
 the one shingle; several rows of one id belong to one component; an empty
 table gives an empty one; further columns are ignored.
@@ -38,6 +48,7 @@ table gives an empty one; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +57,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks
-from .session import cut, small, small_batches
+from .session import cut, join_one, small, small_batches
 
 K, PERCENT = 5, 80
 #: Documents that have a frequent token.
 FREQUENT = 24
+#: Documents of a key whose pairs are looked at without a longer combination.
+LIGHT = 100
+#: Cells of a group, and those of them that make a key; a group may have the others touched.
+CELLS, AGREE = 6, 4
+#: Upper bounds of the ranges of budgets: the first, and from each to the next.
+FIRST_RANGE, RANGE_RATIO = 4, 1.6
+#: Words of 64 parity bits.
+BITS = 4
 #: Bytes of text to a bucket of token counts.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text, and documents, packed together.
@@ -280,8 +299,64 @@ def signatures(unique: int, rare: np.ndarray, often: np.ndarray, percent: int) -
     return np.unique(np.concatenate(out))
 
 
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * ``BITS`` classes of tokens whether their number is odd."""
+    odd = np.bincount((textblocks.mix(tokens) >> np.uint64(40)).astype(np.int64) % (64 * BITS), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _ranges(highest: float) -> list[int]:
+    """Upper bounds of the ranges of budgets up to ``highest``."""
+    out = [FIRST_RANGE]
+    while out[-1] < highest:
+        out.append(int(out[-1] * RANGE_RATIO))
+    return out
+
+
+_FOURS = np.array(list(combinations(range(CELLS), AGREE)))
+
+
+def long_combinations(n: int, tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which two linked documents share one, from a set's size and its shared tokens.
+
+    Two sets that link differ in at most the sum of their budgets' shared
+    tokens: (100 - p) / (100 + p) of the size, less the tokens of no one else.
+    """
+    budget = (n * (100 - percent) - (n - len(tokens)) * (100 + percent)) / (100 + percent)
+    most = n * (100 - percent) / (100 + percent) * 100 / percent
+    bounds = _ranges(max(most, budget))
+    own = int(np.searchsorted(bounds, budget))
+    out = []
+    for other in range(int(np.searchsorted(bounds, -budget)) if budget < 0 else 0, int(np.searchsorted(bounds, most)) + 1):
+        groups = (bounds[own] + bounds[other]) // (CELLS - AGREE + 1) + 1
+        kind = textblocks.mix(np.array([min(own, other) * 64 + max(own, other) + 1], np.uint64))
+        mixed = textblocks.mix(tokens + kind)
+        cell = (mixed >> np.uint64(20)).astype(np.int64) % (groups * CELLS)
+        sums = np.zeros(groups * CELLS, np.uint64)
+        np.add.at(sums, cell, mixed)
+        sums = textblocks.mix(sums + np.arange(len(sums), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(groups, CELLS)
+        out.append(textblocks.mix(sums[:, _FOURS].sum(axis=2, dtype=np.uint64).ravel() + kind))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def _with_long_keys(candidates: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, s, bits, keys): the documents with longer combinations for keys."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [
+                long_combinations(n, unpack(blob), percent).view(np.int64)
+                for n, blob in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            ]
+            keys = pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), keys], ["doc_id", "n", "s", "bits", "keys"])
+
+    shape = "doc_id long, n long, s long, bits array<long>, keys array<long>"
+    return candidates.select("doc_id", "n", "s", "bits", "tokens").mapInArrow(extend, shape)
+
+
 def _candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, s, keys, tokens): documents that may link; s of their n tokens are shared, and packed in ``tokens``."""
+    """(doc_id, n, s, keys, bits, tokens): documents that may link; s of their n tokens are shared, and packed in ``tokens``."""
 
     def gather(group: pa.Table) -> pa.Table:
         parts, flags, multi, multi_flag, own = [], [], [], [], None
@@ -301,7 +376,7 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
             order = np.argsort(token)
             flags.append(flag[order][np.searchsorted(token[order], members >> np.uint64(16))] if len(members) else np.zeros(0, bool))
             parts.append(members)
-        out = {name: [] for name in ("doc_id", "n", "s", "keys", "tokens")}
+        out = {name: [] for name in ("doc_id", "n", "s", "keys", "bits", "tokens")}
         if parts:
             key, flag = np.concatenate(parts), np.concatenate(flags)
             doc = (key & _LOW).astype(np.int64)
@@ -319,11 +394,12 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
                     out["n"].append(int(sizes[i]))
                     out["s"].append(len(tokens))
                     out["keys"].append(keys.view(np.int64))
+                    out["bits"].append(parity_bits(tokens))
                     out["tokens"].append(pack(np.sort(tokens)))
-        kinds = {"keys": pa.list_(pa.int64()), "tokens": pa.binary()}
+        kinds = {"keys": pa.list_(pa.int64()), "bits": pa.list_(pa.int64()), "tokens": pa.binary()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
 
-    return shared.groupBy("chunk").applyInArrow(gather, "doc_id long, n long, s long, keys array<long>, tokens binary")
+    return shared.groupBy("chunk").applyInArrow(gather, "doc_id long, n long, s long, keys array<long>, bits array<long>, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -346,7 +422,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(compare, "a long, b long")
+        join_one(pairs.join(right, "b"), left, ["a"])
+        .select("a", "b", "na", "ta", "nb", "tb")
+        .mapInArrow(compare, "a long, b long")
     )
 
 
@@ -366,29 +444,54 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while rest.limit(1).count():
         rank = lambda c: F.struct((F.xxhash64(c) if number % 2 else F.col(c)).alias("r"), F.col(c).alias("id"))  # noqa: B023, E731
         ends = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = ends.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near")["id"].alias("to"))
+        first = cut(ends.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near")["id"].alias("to")))
         onward = first.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        step = cut(first.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")))
+        step = cut(join_one(first, onward, ["to"], "left").select("a", F.coalesce("next", "to").alias("to")))
         labels = cut(
-            labels.join(step.select(F.col("a").alias("label"), "to"), "label", "left").select(
+            join_one(labels, step.select(F.col("a").alias("label"), "to"), ["label"], "left").select(
                 "doc_id", F.coalesce("to", "label").alias("label")
             )
         )
-        moved = rest.join(step, "a").select(F.col("to").alias("x"), "b")
-        moved = moved.join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        moved = join_one(rest, step, ["a"]).select(F.col("to").alias("x"), "b")
+        moved = join_one(moved, step.select(F.col("a").alias("b"), F.col("to").alias("y")), ["b"]).where("x <> y")
         rest = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         number += 1
     smallest = labels.groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    return cut(labels.join(smallest, "label").select("doc_id", F.col("smallest").alias("label"))) if number else labels
+    return cut(join_one(labels, smallest, ["label"]).select("doc_id", F.col("smallest").alias("label"))) if number else labels
+
 
+def _open_keys(near: DataFrame) -> DataFrame:
+    """(key, members) of the keys that documents of different components share."""
+    keys = near.select("label", F.explode("keys").alias("key"))
+    found = keys.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"))
+    return found.where("x <> y").select("key", "members")
 
-def _linked(candidates: DataFrame, percent: int) -> DataFrame:
+
+def _pairs(near: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of different components that share one of ``keys`` and may link."""
+    rows = join_one(near.select("doc_id", "n", "s", "bits", "label", F.explode("keys").alias("key")), keys.select("key"), ["key"])
+    rows = rows.select("key", "doc_id", "n", "s", "label", *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS)])
+    others = rows.select("key", *[F.col(c).alias(f"{c}_") for c in rows.columns if c != "key"])
+    common = F.least("s", "s_")
+    differ = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"bits{i}_"))) for i in range(BITS)), F.lit(0))
+    alone = F.col("n") - F.col("s") + F.col("n_") - F.col("s_")
+    return (
+        rows.join(others, "key")
+        .where("doc_id < doc_id_ and label <> label_")
+        .where(F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent)
+        .where(common * 100 >= (F.col("n") + F.col("n_") - common) * percent)
+        .where((differ + alone) * (100 + percent) <= (F.col("n") + F.col("n_")) * (100 - percent))
+        .select(F.col("doc_id").alias("a"), F.col("doc_id_").alias("b"))
+    )
+
+
+def _linked(candidates: DataFrame, percent: int, light: int) -> DataFrame:
     """(doc_id, label) of the candidates: their components under all links."""
     sets = candidates.select("doc_id", "n", "tokens")
-    keys = candidates.select("doc_id", "n", "s", F.explode("keys").alias("key"))
+    keys = candidates.select("doc_id", F.explode("keys").alias("key"))
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).where("members > 1")
     votes = (
-        keys.join(heads.select("key", "head"), "key")
+        join_one(keys, heads.select("key", "head"), ["key"])
         .where("head <> doc_id")
         .groupBy("doc_id", "head")
         .agg(F.count("*").alias("votes"))
@@ -398,42 +501,45 @@ def _linked(candidates: DataFrame, percent: int) -> DataFrame:
     edges = cut(_verified(stars, sets, percent))
     labels = components(candidates.select("doc_id").distinct(), edges)
 
-    labelled = keys.join(labels, "doc_id")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = labelled.join(open_keys, "key")
-    right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc_id", "n", "s", "label")])
-    common = F.least("s", "s_")
-    pairs = (
-        left.join(right, "key")
-        .where("doc_id < doc_id_ and label <> label_")
-        .where((F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent))
-        .where(common * 100 >= (F.col("n") + F.col("n_") - common) * percent)
-        .select(F.col("doc_id").alias("a"), F.col("doc_id_").alias("b"))
+    near = join_one(candidates.select("doc_id", "n", "s", "bits", "keys"), labels, ["doc_id"])
+    left = cut(_open_keys(near))
+    heavy = cut(
+        join_one(near.select("doc_id", F.explode("keys").alias("key")), left.where(F.col("members") > light).select("key"), ["key"])
+        .select("doc_id")
         .distinct()
     )
+    pairs = _pairs(near, left.where(F.col("members") <= light), percent)
+    if heavy.limit(1).count():
+        longer = cut(join_one(_with_long_keys(candidates.join(small(heavy), "doc_id"), percent), labels, ["doc_id"]))
+        pairs = pairs.union(_pairs(longer, _open_keys(longer), percent))
+    pairs = pairs.distinct()
     more = cut(_verified(cut(pairs), sets, percent))
     if not more.limit(1).count():
         return labels
     return components(candidates.select("doc_id").distinct(), edges.union(more))
 
 
-def similar_groups(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, light: int = LIGHT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of ``docs``."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summaries = cut(_summaries(rows, k))
     full = summaries.where("n > 0 and doc_id is not null")
-    heads = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("head"))
-    classes = full.select("doc_id", "s1", "s2", "n").join(heads, ["s1", "s2", "n"]).select("doc_id", "head").distinct()
-    copies = cut(classes.where("doc_id <> head"))
-    texts = rows.where("doc_id is not null and text is not null").join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti")
+    equal = ["s1", "s2", "n"]
+    heads = full.groupBy(*equal).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last").drop("last")
+    copies = cut(join_one(full, cut(heads), equal).where("doc_id <> head").distinct())
+    # Copies leave the search, but for ids that have another text too.
+    ids = copies.select("doc_id").distinct()
+    others = full.join(small(ids), "doc_id", "left_semi").join(copies, ["doc_id", *equal], "left_anti").select("doc_id").distinct()
+    gone = cut(ids.join(others, "doc_id", "left_anti"))
+    texts = rows.where("doc_id is not null and text is not null").join(small(gone), "doc_id", "left_anti")
     length = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), length // BUCKET_BYTES + 1)
     candidates = cut(_candidates(_shared_tokens(_blobs(texts, k, buckets), frequent), percent))
-    labels = _linked(candidates, percent)
+    labels = _linked(candidates, percent, light)
     edges = copies.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     # A copy takes its head's label; ids with several texts can tie groups together, so ties go through components.
-    tied = copies.groupBy("doc_id").agg(F.count("*").alias("heads")).where("heads > 1").limit(1).count()
+    tied = gone.count() < copies.count()
     if tied:
         links = edges.union(labels.select(F.col("label").alias("a"), F.col("doc_id").alias("b")))
         found = components(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct(), links)

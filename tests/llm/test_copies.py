@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from geoloom.llm import decontaminate, jaccard, substrings
+from geoloom.llm import decontaminate, jaccard, session, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,13 +75,48 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [2, 5, 1000])
-def test_groups_are_those_of_brute_force(spark, copies, frequent):
+@pytest.mark.parametrize(("frequent", "light"), [(2, 2), (5, 3), (5, 1000), (1000, 100)])
+def test_groups_are_those_of_brute_force(spark, copies, frequent, light):
     docs = spark.createDataFrame(copies, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, frequent=frequent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, frequent=frequent, light=light).collect()}
     assert got == brute_groups(copies)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_linked_sets_share_a_long_combination(percent):
+    """Pairs just above the threshold, with and without tokens of their own, share a key; sets far apart rarely do."""
+    rng = np.random.default_rng(percent)
+    far = met = 0
+    for _ in range(300):
+        n = int(rng.integers(5, 400))
+        base = np.unique(rng.integers(0, 1 << 48, n, np.uint64))
+        n = len(base)
+        common = int(rng.integers(-(-percent * n // 100), n + 1))
+        most = 100 * common // percent - common
+        left, right = int(rng.integers(0, most + 1)), 0
+        right = int(rng.integers(0, most - left + 1))
+        extra = rng.integers(0, 1 << 48, left + right, np.uint64)
+        a, b = np.concatenate([base[:common], extra[:left]]), np.concatenate([base[:common], extra[left:]])
+        assert 100 * common >= percent * (common + left + right)
+        own = rng.integers(0, 2, 2)  # whether the tokens that differ are in no other document
+        shared = [base[:common] if own[i] else x for i, x in enumerate((a, b))]
+        keys = [jaccard.long_combinations(len(x), s, percent) for x, s in zip((a, b), shared, strict=True)]
+        assert len(np.intersect1d(*keys))
+        if n > 100 and percent >= 80:
+            other = np.concatenate([base[: n // 2], rng.integers(0, 1 << 48, n - n // 2, np.uint64)])
+            met += len(np.intersect1d(keys[0], jaccard.long_combinations(n, other, percent))) > 0
+            far += 1
+    assert met <= 0.5 * far
+
+
+def test_keys_with_many_rows_are_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([(i % 7 and 1, i) for i in range(700)], "k long, v long")
+    one = spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
+    for how in ("inner", "left"):
+        got = session.join_one(rows, one, ["k"], how, hot_rows=10, rows_bound=50 if how == "left" else 0)
+        assert sorted((r.v, r.w) for r in got.collect()) == [(i, "b" if i % 7 else "a") for i in range(700)]
+
+
 def test_groups_on_odd_rows(odd, none):
     rows = jaccard.similar_groups(odd).collect()
     assert len(rows) == odd.count()
@@ -96,6 +131,14 @@ def test_several_texts_of_one_id_tie_groups(spark):
     assert {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()} == {1: 1, 2: 1, 3: 1}
 
 
+def test_an_id_with_a_copied_text_and_another_keeps_its_links(spark):
+    x, y = ([f"{c}{i}" for i in range(40)] for c in "xy")
+    docs = [(1, x), (5, x), (5, y), (9, [*y[:38], "end"])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    rows = jaccard.similar_groups(docs).collect()
+    assert len(rows) == 4 and {r.component_id for r in rows} == {1}
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 1000):
