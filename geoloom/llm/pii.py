@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton passes once over a text and reports anchors: at
-signs, plus signs, digits, ``scheme://`` and ``mailto:`` marks, and cue words
-for accounts.  From each anchor a deterministic local parser expands to the
+An Aho-Corasick automaton passes once over a text, ASCII letters lower-cased,
+and reports anchors: at signs, plus signs, digits, ``scheme://`` marks, and cue
+words for identifiers.  From each anchor a deterministic local parser expands to the
 left and right and validates the boundary, so no pattern is tried at every
 position of the text.
 
@@ -13,11 +13,23 @@ Kinds found, in the order of the result:
 * ``card``: 16 to 19 digits, single blanks or hyphens between, passing Luhn
 * ``phone``: a plus sign and 8 to 15 digits among ``[\\x20().0-9-]``
 * ``address``: the user part of a url (``scheme://user:password@``)
-* ``account``: an IBAN-like number after a cue word, passing mod 97
-
-The first four are leftmost and non-overlapping within their kind; a match
+* ``account``: after a cue word, an IBAN passing mod 97 or 6 to 17 digits of a
+  bank account
+* ``routing``: after a cue word, nine digits passing the bank routing checksum
+* ``ssn``: after a cue word, nine digits as 3-2-4 of a social security number,
+  without the areas, groups and serials that are never given out
+* ``passport``: after a cue word, one or two letters and six to eight digits,
+  or nine digits
+* ``tax``: after a cue word, an employer's number as 2-7 digits or a country
+  code with 8 to 12 digits
+
+Cue words stand alone (no letter or digit on either side), in letters of any
+case; a few fill words and separators may follow before the number, which ends
+where no letter or digit follows.  The first four are leftmost and non-overlapping within their kind; a match
 that fails its check is dropped and its text is not tried again.
 
+Ties: spans of different kinds may overlap and are all reported.
+
 Defined results: null and empty texts have no spans; a null id stays null;
 repeated rows give repeated results; an empty table gives an empty one;
 further columns are ignored.  Spans are code points, end exclusive.
@@ -33,13 +45,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "address", "account")
+KINDS = ("email", "ip", "card", "phone", "address", "account", "routing", "ssn", "passport", "tax")
 BASE_KINDS = KINDS[:4]
 
 #: Fixed values.
 DIGITS = "0123456789"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-CUES = ("iban", "IBAN", "Iban")
+CUES = {
+    "iban": "account",
+    "account": "account",
+    "acct": "account",
+    "konto": "account",
+    "kontonummer": "account",
+    "compte": "account",
+    "cuenta": "account",
+    "routing": "routing",
+    "aba": "routing",
+    "ssn": "ssn",
+    "social security": "ssn",
+    "passport": "passport",
+    "passeport": "passport",
+    "pasaporte": "passport",
+    "reisepass": "passport",
+    "ein": "tax",
+    "tin": "tax",
+    "tax id": "tax",
+    "vat": "tax",
+    "ust-id": "tax",
+    "tva": "tax",
+    "nif": "tax",
+}
+FILL = ("number", "nummer", "nr", "no", "num", "id", "is")
 PHONE_INNER = " ().-"
 
 _digit = frozenset(DIGITS)
@@ -47,6 +83,7 @@ _label = frozenset(LETTERS + DIGITS + "-")
 _local = frozenset(LETTERS + DIGITS + "._%+-")
 _phone = frozenset(DIGITS + PHONE_INNER)
 _alnum = frozenset(LETTERS + DIGITS)
+_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _user = frozenset(LETTERS + DIGITS + "._%+-:~!$&'*,;=")
 
 
@@ -55,8 +92,8 @@ def automaton() -> ahocorasick.Automaton:
     for sign in "@+" + DIGITS:
         anchors.add_word(sign, (sign if sign in "@+" else "0", 1))
     anchors.add_word("://", ("://", 3))
-    for cue in CUES:
-        anchors.add_word(cue, ("cue", len(cue)))
+    for cue, kind in CUES.items():
+        anchors.add_word(cue, (kind, len(cue)))
     anchors.make_automaton()
     return anchors
 
@@ -139,26 +176,80 @@ def parse_user(text: str, after: int) -> tuple[int, int] | None:
     return (after, i) if i > after and i < len(text) and text[i] == "@" else None
 
 
-def parse_account(text: str, after: int) -> tuple[int, int] | None:
-    """An IBAN after up to three separators: two letters, two digits, 11 to 30 more, blanks between."""
-    i = after
-    while i < len(text) and i < after + 3 and text[i] in " :#=":
-        i += 1
-    start, kept, end = i, "", i
+def parse_iban(text: str, start: int) -> int | None:
+    """Two letters, two digits, 11 to 30 more, single blanks between, passing mod 97; where it ends."""
+    i, kept = start, ""
     while i < len(text) and len(kept) < 34:
         if text[i] in _alnum:
             kept += text[i].upper()
-            end = i + 1
         elif text[i] != " " or i + 1 >= len(text) or text[i + 1] not in _alnum:
             break
-        if len(kept) >= 15 and kept[:2].isalpha() and kept[2:4].isdigit() and (i + 1 >= len(text) or text[i + 1] not in _alnum):
+        ends = text[i] in _alnum and (i + 1 >= len(text) or text[i + 1] not in _alnum)
+        if ends and len(kept) >= 15 and kept[:2].isalpha() and kept[2:4].isdigit():
             turned = kept[4:] + kept[:4]
             if int("".join(str(int(c, 36)) for c in turned)) % 97 == 1:
-                return start, end
+                return i + 1
         i += 1
     return None
 
 
+def number_start(text: str, after: int) -> int:
+    """Past separators and at most two fill words after a cue."""
+    i = after
+    for _ in range(3):
+        while i < len(text) and i < after + 16 and text[i] in " .:#=\t":
+            i += 1
+        word = next((w for w in FILL if text[i : i + len(w)].translate(_lower) == w), "")
+        end = i + len(word)
+        if not word or (end < len(text) and text[end] in _alnum):
+            return i
+        i = end
+    return i
+
+
+def run_of(text: str, start: int, most: int) -> tuple[str, int]:
+    """The letters and digits from ``start``, with single hyphens or blanks before a digit, and where they end; empty beyond ``most``."""
+    i = start
+    while i < len(text) and i - start <= most:
+        if text[i] in _alnum or (text[i] in " -" and i > start and text[i - 1] in _alnum and i + 1 < len(text) and text[i + 1] in _digit):
+            i += 1
+        else:
+            return text[start:i], i
+    return (text[start:i], i) if i - start <= most else ("", start)
+
+
+def _routing(digits: str) -> bool:
+    return len(digits) == 9 and sum(int(d) * w for d, w in zip(digits, (3, 7, 1) * 3, strict=True)) % 10 == 0 and digits != "0" * 9
+
+
+def _ssn(shown: str, digits: str) -> bool:
+    parts = [p for p in shown.replace(" ", "-").split("-") if p]
+    if len(digits) != 9 or (len(parts) > 1 and [len(p) for p in parts] != [3, 2, 4]):
+        return False
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def parse_identifier(text: str, kind: str, after: int) -> tuple[int, int] | None:
+    """The identifier that a cue of ``kind`` announces."""
+    start = number_start(text, after)
+    if kind == "account" and (end := parse_iban(text, start)):
+        return start, end
+    shown, end = run_of(text, start, 24)
+    letters = len(shown) - len(shown.lstrip(LETTERS))
+    digits = "".join(c for c in shown[letters:] if c in _digit)
+    plain = shown.isascii() and all(c in _digit or c in " -" for c in shown[letters:])
+    if not plain:
+        return None
+    fits = {
+        "account": letters == 0 and 6 <= len(digits) <= 17,
+        "routing": letters == 0 and _routing(digits),
+        "ssn": letters == 0 and _ssn(shown, digits),
+        "passport": (1 <= letters <= 2 and 6 <= len(digits) <= 8) or (letters == 0 and len(digits) == 9),
+        "tax": (letters == 0 and len(digits) == 9 and shown[2:3] in "-0123456789") or (letters == 2 and 8 <= len(digits) <= 12),
+    }
+    return (start, end) if fits[kind] else None
+
+
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """All spans by kind and then start."""
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
@@ -168,7 +259,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int
         found[kind].append(span)
         free[kind] = span[1]
 
-    for last, (anchor, length) in anchors.iter(text):
+    for last, (anchor, length) in anchors.iter(text.translate(_lower)):
         at = last - length + 1
         if anchor == "0":
             if at >= free["ip"] and (at == 0 or text[at - 1] not in _digit or at == free["ip"]):
@@ -176,7 +267,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int
                 free["ip"] = end
                 if len(ends) == 4:
                     parts = text[at:end].split(".")
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts):
+                    if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in parts)):
                         take("ip", (at, end))
             if at >= free["card"]:
                 end = parse_card(text, at)
@@ -195,8 +286,9 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int
         elif anchor == "://":
             if span := parse_user(text, last + 1):
                 take("address", span)
-        elif at >= free["account"] and (at == 0 or text[at - 1] not in _alnum) and (span := parse_account(text, last + 1)):
-            take("account", span)
+        elif at >= free[anchor] and not any(x in _alnum for x in (text[at - 1 : at] + text[last + 1 : last + 2])):
+            if span := parse_identifier(text, anchor, last + 1):
+                take(anchor, span)
     return [(kind, start, end) for kind in KINDS for start, end in found[kind]]
 
 
