@@ -19,6 +19,9 @@ are of kind ``entropy`` and are left out where a base span covers them.
 Documents are first tested as a whole, by linear-time patterns over the Arrow
 column, for what every span needs; only documents that pass are read further.
 
+Ties: a window of exactly the threshold counts; spans of one start follow the
+order of the kinds.
+
 Defined results: null and empty texts have no spans; a null id stays null;
 repeated rows give repeated results; an empty table gives an empty one;
 further columns are ignored.  Spans are code points, end exclusive.
@@ -43,7 +46,7 @@ WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "all": 3.8}
 
 #: Fixed values.
-ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_.=-]{20,}"
