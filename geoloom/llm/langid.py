@@ -1,7 +1,7 @@
 """Language identification by the nearest of several centroids per language.
 
 A text becomes a vector of hashed byte n-grams (n = 2, 3; letters lower-cased,
-everything else a blank): tf = 1 + log(count), times idf, normalised.  Each
+everything else a blank): tf = log(1 + count), times idf, normalised.  Each
 language has a few centroids, found by spherical k-means; the language of the
 centroid with the highest cosine wins.  A text whose best cosine is lower than
 its language's limit is *rejected*: it is far from everything learned.  A text of

@@ -22,7 +22,9 @@ as long as their tokens fit.
 Defined results: null and empty sources are one source; texts without words
 have no tokens and take part in full passes only; repeated rows have the same
 place and are taken or left together; a table without tokens gives an empty
-result; further columns are kept, and must not be named as the result's own.
+result; further columns are kept, whatever their names, but columns of the
+table named as the result's own (``epoch``, ``place``, ``n_tokens``) are
+replaced by them.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from pyspark.sql import Window
 from .session import cut, small
 
 WORD = r"[^\x20\x09-\x0D]+"
+RESULT = ("epoch", "place", "n_tokens")
 _GRID = 32
 _ROUNDS = 7
 
@@ -143,12 +146,19 @@ def mix(
     last = tokens.where("n_tokens > 0").join(small(weights), "key")
     placed = cut(last.select("key", "n_tokens", _place(seed, F.col("full"), F.col("doc_id")).alias("place")))
     cuts = cut(_cuts(placed, weights))
-    counted = docs.select("*", key.alias("key"), token_count(F.col("text")).alias("n_tokens")).join(small(cuts), "key")
-    taken = (F.col("n_tokens") > 0) & (_place(seed, F.col("full"), F.col("doc_id")) < F.col("cut"))
-    passes = F.col("full") + taken.cast("int")
+    # Names of its own for what is joined, so that no column of the table can clash with it.
+    own = [c for c in docs.columns if c.lower() not in RESULT]
+    counted = docs.select(
+        *[F.col(f"`{c}`") for c in own], key.alias("_mix_key"), F.col("doc_id").alias("_mix_id"), token_count(F.col("text")).alias("_mix_tokens")
+    )
+    ends = cuts.select(F.col("key").alias("_mix_key"), F.col("full").alias("_mix_full"), F.col("cut").alias("_mix_cut"))
+    counted = counted.join(small(ends), "_mix_key")
+    taken = (F.col("_mix_tokens") > 0) & (_place(seed, F.col("_mix_full"), F.col("_mix_id")) < F.col("_mix_cut"))
+    passes = F.col("_mix_full") + taken.cast("int")
     out = counted.where(passes > 0).select(
-        *[F.col(c) for c in docs.columns],
+        *[F.col(f"`{c}`") for c in own],
         F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)).alias("epoch"),
-        "n_tokens",
+        F.col("_mix_tokens").alias("n_tokens"),
+        "_mix_id",
     )
-    return out.withColumn("place", _place(seed, F.col("epoch"), F.col("doc_id")))
+    return out.withColumn("place", _place(seed, F.col("epoch"), F.col("_mix_id"))).drop("_mix_id")
