@@ -29,3 +29,19 @@ def test_stages(spark, sf_dir):
         if name != "mixing":
             assert docs.columns == columns
     assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in kept["personal_data"].collect()}
+
+
+def test_stages_on_odd_rows(spark, odd, none, sf_dir):
+    """Nulls, empty and long texts, repeated rows and further columns with the names that stages use inside."""
+    names = ("key", "label", "a", "head", "epoch", "place", "n_tokens", "spans", "lang_pred", "n")
+    docs = stored(odd.select("*", *[F.lit("own").alias(c) for c in names]))
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs = stored(stage(spark, docs, sf_dir))
+        if name == "near_duplicates":
+            assert {r.doc_id for r in docs.collect()} <= {4, 5, None, 8}
+        if name != "mixing":
+            assert docs.columns == before
+    assert docs.where("key <> 'own'").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0
