@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import codec, planar
+from . import batch, codec, overlay, planar
 
 def numbers(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
@@ -35,32 +36,24 @@ def geometry_type(geom: Column) -> Column:
     return F.when(geom.isNotNull(), F.get(names, (code.cast("int") % 1000) - 1))
 
 
-@F.pandas_udf(PARTS)
-def parts_of(geom: pd.Series) -> pd.Series:
+@F.arrow_udf(PARTS)
+def parts_of(geom: pa.Array) -> pa.Array:
     """All coordinate sequences; null for null and for what is no geometry."""
+    return batch.nested(batch.decode_all(geom))
 
-    def one(data):
-        try:
-            return None if data is None else [[{"x": x, "y": y} for x, y in xy.tolist()] for xy in codec.lines(codec.decode(data))]
-        except codec.GeometryError:
-            return None
 
-    return geom.map(one)
+@F.arrow_udf(BBOX)
+def bbox_of(geom: pa.Array) -> pa.Array:
+    return batch.bounds(batch.decode_all(geom))
+
 
+METRICS = T.StructType([T.StructField("sequences", T.LongType()), *numbers("length", "area").fields])
 
-@F.pandas_udf(BBOX)
-def bbox_of(geom: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data in geom:
-        xy = None
-        if data is not None:
-            try:
-                seqs = codec.lines(codec.decode(data))
-                xy = np.concatenate(seqs) if seqs else None
-            except codec.GeometryError:
-                pass
-        rows.append((None,) * 4 if xy is None else (*xy.min(0).tolist(), *xy.max(0).tolist()))
-    return pd.DataFrame(rows, columns=["minx", "miny", "maxx", "maxy"])
+
+@F.arrow_udf(METRICS)
+def metrics_of(geom: pa.Array) -> pa.Array:
+    """The number of sequences (null for what is no geometry), and the first one's length and enclosed area."""
+    return batch.metrics(batch.decode_all(geom))
 
 
 @F.pandas_udf(T.StringType())
@@ -85,14 +78,15 @@ def from_wkt(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf(BINARY)
-def point(x: pd.Series, y: pd.Series) -> pd.Series:
-    """POINT of two numbers, for a whole batch at once; null where one is missing."""
-    rows = np.zeros(len(x), np.dtype([("order", "u1"), ("code", "<u4"), ("x", "<f8"), ("y", "<f8")]))
-    rows["order"], rows["code"], rows["x"], rows["y"] = 1, 1, x, y
-    raw = rows.tobytes()
-    missing = (x.isna() | y.isna()).tolist()
-    return pd.Series([None if m else raw[i * 21 : i * 21 + 21] for i, m in enumerate(missing)], dtype=object)
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+@F.arrow_udf(BINARY)
+def point(x: pa.Array, y: pa.Array) -> pa.Array:
+    """POINT of two numbers; null where one is missing."""
+    x, y = _numbers(x), _numbers(y)
+    return batch.points(x, y, np.isnan(x) | np.isnan(y))
 
 
 @F.pandas_udf(BINARY)
@@ -101,10 +95,9 @@ def line(points: pd.Series) -> pd.Series:
     return points.map(lambda p: None if p is None else codec.encode(("LINESTRING", [(v["x"], v["y"]) for v in p])))
 
 
-@F.pandas_udf(BINARY)
-def box(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
-    rows = zip(minx, miny, maxx, maxy, strict=True)
-    return pd.Series([codec.encode(("POLYGON", [[(a, b), (c, b), (c, d), (a, d), (a, b)]])) for a, b, c, d in rows], dtype=object)
+@F.arrow_udf(BINARY)
+def box(minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy: pa.Array) -> pa.Array:
+    return batch.boxes(np.stack([_numbers(c) for c in (minx, miny, maxx, maxy)], 1))
 
 
 def overlaps(bbox: Column, minx: float, miny: float, maxx: float, maxy: float) -> Column:
@@ -132,11 +125,16 @@ def area_of(ring: Column) -> Column:
     return F.abs(F.aggregate(F.coalesce(_pairs(ring), F.array()), F.lit(0.0), lambda acc, p: acc + cross(p))) / 2
 
 
-@F.pandas_udf(POINT)
-def representative_point(geom: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(POINT)
+def representative_point(geom: pa.Array) -> pa.Array:
     """A point's own position, a line's half-length point, a polygon's centroid; null for other types."""
-    rows = [planar.representative(codec.decode(g)) if g is not None else None for g in geom]
-    return pd.DataFrame([(None, None) if r is None else r for r in rows], columns=["x", "y"])
+    d = batch.decode_all(geom)
+    xy, ok = batch.centers(d)
+    for i in np.flatnonzero(d.kind == 2).tolist():
+        found = planar.half_length_point(d.xy[d.seqs[d.rows[i]] : d.seqs[d.rows[i + 1]]])
+        if found is not None:
+            xy[i], ok[i] = found, True
+    return pa.StructArray.from_arrays([pa.array(xy[:, k], mask=~ok) for k in (0, 1)], ["x", "y"])
 
 
 @F.pandas_udf(POINT)
@@ -153,20 +151,85 @@ def longest_segment(geom: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None,) * 3 if r is None else r for r in rows], columns=["x", "y", "angle"])
 
 
-@F.pandas_udf(BINARY)
-def clip_to_convex(geom: pd.Series, window: pd.Series) -> pd.Series:
-    """The polygonal part of a geometry inside a convex polygon; null where nothing with an area is left."""
-    known: dict[bytes, np.ndarray] = {}
+def _encoded(polygons: list) -> bytes | None:
+    """POLYGON or MULTIPOLYGON; None without an area."""
+    if not polygons:
+        return None
+    return codec.encode(("POLYGON", polygons[0]) if len(polygons) == 1 else ("MULTIPOLYGON", [("POLYGON", p) for p in polygons]))
+
+
+@F.arrow_udf(BINARY)
+def clip_to(geom: pa.Array, window: pa.Array) -> pa.Array:
+    """The polygonal part of a geometry inside a polygonal window; null where nothing with an area is left.
+
+    Where the bounds lie inside a window that is a box the geometry stays as
+    it is; convex windows of one ring are clipped side by side, others by
+    overlay.
+    """
+    if isinstance(window, pa.ChunkedArray):
+        window = window.combine_chunks()
+    known: dict[bytes, tuple] = {}
+    names = window.dictionary_encode() if not isinstance(window, pa.DictionaryArray) else window
+    which, windows = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
+    for w in windows:
+        found = codec.polygons(codec.decode(w))
+        convex = len(found) == 1 and len(found[0]) == 1 and planar.is_convex(found[0][0])
+        corners = found[0][0] if convex else None
+        level = convex and len(corners) == 5 and ((np.diff(corners, axis=0) == 0).sum(1) == 1).all()
+        known[w] = (found, corners, (*corners.min(0), *corners.max(0)) if level else None)
+    d = batch.decode_all(geom)
+    whole = batch.metrics(d).field(2).to_numpy(zero_copy_only=False) > 1e-12
+    edges = batch.bounds(d)
+    edges = np.stack([edges.field(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
     out = []
-    for g, w in zip(geom, window, strict=True):
-        if g is None or w is None:
+    for i, data in enumerate(geom.to_pylist()):
+        if data is None or np.isnan(which[i]) or d.kind[i] < 3:
             out.append(None)
             continue
-        if w not in known:
-            known[w] = codec.polygons(codec.decode(w))[0][0]
-        got = planar.clip_polygons(codec.polygons(codec.decode(g)), known[w])
-        out.append(None if not got else codec.encode(("POLYGON", got[0]) if len(got) == 1 else ("MULTIPOLYGON", [("POLYGON", p) for p in got])))
-    return pd.Series(out, dtype=object)
+        found, corners, level = known[windows[int(which[i])]]
+        e = edges[i]
+        if level and d.kind[i] == 3 and whole[i] and level[0] <= e[0] and level[1] <= e[1] and e[2] <= level[2] and e[3] <= level[3]:
+            out.append(data)
+            continue
+        if corners is None and not overlay.borders(found, e):
+            out.append(data if d.kind[i] == 3 and whole[i] and overlay.covers(found, e[:2]) else None)
+            continue
+        shapes = codec.polygons(codec.decode(data))
+        out.append(_encoded(planar.clip_polygons(shapes, corners) if corners is not None else overlay.intersection(shapes, found)))
+    return pa.array(out, pa.binary())
+
+
+def overlay_of(operation: str):
+    """``intersect``, ``union`` or ``difference`` of two polygonal geometries; an empty POLYGON where nothing is left."""
+    combine = {"intersect": overlay.intersection, "union": overlay.union, "difference": overlay.difference}[operation]
+
+    @F.pandas_udf(BINARY)
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            sides = [codec.polygons(codec.decode(g)) if g is not None else [] for g in (a, b)]
+            out.append(_encoded(combine(*sides)) or codec.encode(("POLYGON", [])))
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def buffer(distance: float, segments: int = 8):
+    """All places within a distance; lines and points have round ends, and below 0 polygons shrink. Null where nothing is left."""
+
+    @F.pandas_udf(BINARY)
+    def grow(geom: pd.Series) -> pd.Series:
+        def one(data):
+            if data is None:
+                return None
+            geometry = codec.decode(data)
+            if geometry[0] == "POINT":
+                return _encoded([[overlay.disc(geometry[1][0], distance, segments)]] if distance > 0 and len(geometry[1]) else [])
+            return _encoded(overlay.buffer(geometry[0], codec.lines(geometry), codec.polygons(geometry), distance, segments))
+
+        return geom.map(one)
+
+    return grow
 
 
 @F.pandas_udf(BINARY)

@@ -97,12 +97,26 @@ def empty_layer(spark, name: str, geometry_type: str, crs: str, fields: Iterable
 
 
 def page(lay: Layer, offset: int, limit: int) -> tuple[DataFrame, int]:
-    """One page of attributes in fid order, and the number of all rows; limit 1 to 1000, offset clamped."""
+    """One page of attributes in fid order, and the number of all rows; limit 1 to 1000, offset clamped.
+
+    Where the ids are the places 1 to n, a page is a range of ids and no deep
+    sort is made.
+    """
     if not 1 <= limit <= 1000:
         raise LayerError("limit must be 1 to 1000")
-    total = lay.df.count()
-    return lay.attributes().orderBy(FID).offset(max(0, min(offset, total))).limit(limit), total
+    total, least, most = lay.df.agg(F.count("*"), F.min(FID), F.max(FID)).first()
+    offset = max(0, min(offset, total))
+    rows = lay.attributes()
+    if total and (least, most) == (1, total):
+        return rows.where(F.col(FID).between(offset + 1, offset + limit)).orderBy(FID), total
+    return rows.orderBy(FID).offset(offset).limit(limit), total
 
 
 def by_fid(lay: Layer, fid: int) -> DataFrame:
     return lay.df.where(F.col(FID) == fid)
+
+
+def preview(lay: Layer, limit: int = 500) -> tuple[DataFrame, bool]:
+    """The first features by id and whether there are more; the bound is the feature."""
+    rows = lay.df.orderBy(FID).limit(limit + 1)
+    return rows.limit(limit), rows.count() > limit

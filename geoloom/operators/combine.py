@@ -10,9 +10,7 @@ from pyspark.sql import Window
 
 from ..functions.text import is_blank, kind_of, value_text
 from ..model import FID, GEOM, Field, Layer, LayerError, fail_if
-
-#: Rows of a table that may be sent to every executor; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+from ..scale import is_small
 
 
 @dataclass(frozen=True)
@@ -44,9 +42,13 @@ def join_table(lay: Layer, table: DataFrame, layer_key: str, table_key: str, che
     usable = keyed.where("_key is not null")
     if check:
         fail_if(usable.groupBy("_key").count().where("count > 1").select("_key"), "duplicate table key")
-    side = F.broadcast(usable) if usable.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else usable
     left = lay.df.withColumn("_key", _key(lay.df, layer_key))
-    out = left.join(side, "_key", "left")
+    if is_small(usable):
+        out = left.join(F.broadcast(usable), "_key", "left")
+    else:
+        # Features without a key would all be shuffled to one task.
+        blank = left.where("_key is null").select("*", *[F.lit(None).cast("string").alias(c) for c in added])
+        out = left.where("_key is not null").join(usable, "_key", "left").unionByName(blank)
     columns = [FID, *lay.meta.names(), *added, *([GEOM] if GEOM in lay.df.columns else [])]
     fields = lay.meta.fields + tuple(Field(c) for c in added)
     return Joined(lay.with_df(out.select(*[F.col(f"`{c}`") for c in columns]), fields=fields), _report(left, keyed))

@@ -72,30 +72,32 @@ def tile_of_points(df: DataFrame, x: Column, y: Column, size: float, bounds: tup
     return df.withColumns({"tx": F.floor(x / size), "ty": F.floor(y / size)})
 
 
-def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
-    """The part of a segment inside a rectangle as (x0, y0, x1, y1), null if there is none: the shares at which it enters and leaves."""
-    dx, dy = x1 - x0, y1 - y0
-    low, high = F.lit(0.0), F.lit(1.0)
-    inside = F.lit(True)
-    for d, start, least, most in ((dx, x0, minx, maxx), (dy, y0, miny, maxy)):
-        a, b = F.try_divide(least - start, d), F.try_divide(most - start, d)
-        low = F.greatest(low, F.when(d == 0, 0.0).otherwise(F.least(a, b)))
-        high = F.least(high, F.when(d == 0, 1.0).otherwise(F.greatest(a, b)))
-        inside = inside & ((d != 0) | ((start >= least) & (start <= most)))
-    part = F.struct((x0 + dx * low).alias("x0"), (y0 + dy * low).alias("y0"), (x0 + dx * high).alias("x1"), (y0 + dy * high).alias("y1"))
-    return F.when(inside & (low <= high), part)
-
-
 def tile_segments(segments: DataFrame, size: float) -> DataFrame:
-    """Rows (fid, x0, y0, x1, y1) cut at tile borders: (fid, tx, ty, x0, y0, x1, y1), parts of no length left out."""
+    """Rows (fid, x0, y0, x1, y1) cut at tile borders: (fid, tx, ty, x0, y0, x1, y1), parts of no length left out.
+
+    A segment meets a column of tiles between two shares of its length, and
+    in that column only the tiles between the heights at those shares, so the
+    rows made are those of the tiles crossed.  Each step is a column of its
+    own below an explode, so no expression is evaluated more than once or twice.
+    """
     c = F.col
-    lo = lambda a, b: F.floor(F.least(c(a), c(b)) / size)
-    hi = lambda a, b: F.floor(F.greatest(c(a), c(b)) / size)
-    tiles = segments.withColumn("tx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("ty", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
-    minx, miny = c("tx") * size, c("ty") * size
-    part = clip_segment(c("x0"), c("y0"), c("x1"), c("y1"), minx, miny, minx + size, miny + size)
-    cut = tiles.withColumn("part", part).where("part is not null and (part.x0 <> part.x1 or part.y0 <> part.y1)")
-    return cut.select(FID, "tx", "ty", "part.*")
+    tile = lambda v: F.floor(v / size)
+    columns = segments.select(
+        FID, "x0", "y0", "x1", "y1", (c("x1") - c("x0")).alias("dx"), (c("y1") - c("y0")).alias("dy"),
+        F.explode(F.sequence(tile(F.least("x0", "x1")), tile(F.greatest("x0", "x1")))).alias("tx"),
+    )
+    shares = lambda d, start, t: (F.when(d == 0, 0.0).otherwise((t * size - start) / d), F.when(d == 0, 1.0).otherwise((t * size + size - start) / d))
+    a, b = shares(c("dx"), c("x0"), c("tx"))
+    columns = columns.select("*", F.greatest(F.lit(0.0), F.least(a, b)).alias("u0"), F.least(F.lit(1.0), F.greatest(a, b)).alias("u1"))
+    ya, yb, slack = c("y0") + c("dy") * c("u0"), c("y0") + c("dy") * c("u1"), size * 1e-9
+    # What rounding adds to a height must not hide a tile; the shares below decide.
+    low = F.greatest(tile(F.least(ya, yb) - slack), tile(F.least("y0", "y1")))
+    high = F.least(tile(F.greatest(ya, yb) + slack), tile(F.greatest("y0", "y1")))
+    tiles = columns.where("u0 <= u1").select("*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("ty"))
+    a, b = shares(c("dy"), c("y0"), c("ty"))
+    tiles = tiles.select("*", F.greatest(c("u0"), F.least(a, b)).alias("s"), F.least(c("u1"), F.greatest(a, b)).alias("e")).where("s < e and (dx <> 0 or dy <> 0)")
+    at = lambda start, d, share: (c(start) + c(d) * c(share))
+    return tiles.select(FID, "tx", "ty", at("x0", "dx", "s").alias("x0"), at("y0", "dy", "s").alias("y0"), at("x0", "dx", "e").alias("x1"), at("y0", "dy", "e").alias("y1"))
 
 
 def shared_edges_once(segments: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from ..functions import geometry
 from ..functions.text import is_blank, kind_of, value_text
 from ..model import FID, GEOM, Field, Layer, LayerError
+from ..scale import small
+from .combine import numbered
 
 
 def group_totals(lay: Layer, group: str, sum_field: str | None = None) -> DataFrame:
@@ -27,8 +29,10 @@ def group_totals(lay: Layer, group: str, sum_field: str | None = None) -> DataFr
 def validate(lay: Layer, required: list[str] = (), unique: list[str] = (), geometry_rule: bool = True) -> DataFrame:
     """(feature_id, rule, reason, position): every failed rule of every feature.
 
-    A repeated key names the first feature that has it.  The first one is
-    found by an aggregation joined back, so a frequent key is no large window.
+    A repeated key names the first feature that has it.  The first ones are
+    found by an aggregation; those of repeated keys are broadcast where they
+    are measured to be few, so a frequent key is neither a large window nor
+    one task of a join.
     """
     text = lambda name: value_text(F.col(f"`{name}`"), kind_of(lay.df, name))
     issue = lambda ok, rule, reason: F.when(~ok, F.struct(F.lit(rule).alias("rule"), reason.alias("reason")))
@@ -38,15 +42,15 @@ def validate(lay: Layer, required: list[str] = (), unique: list[str] = (), geome
         blank = F.col(f"`{name}`").isNull() | is_blank(text(name))
         found.append(issue(~blank, "required", F.lit(f"{name} is blank")))
     if geometry_rule and GEOM in df.columns:
-        df = df.withColumn("_parts", geometry.parts_of(GEOM))
+        df = df.withColumn("_parts", geometry.metrics_of(GEOM)["sequences"])
         found.append(issue(F.col(GEOM).isNotNull(), "geometry", F.lit("geometry is missing")))
-        bad = F.col(GEOM).isNotNull() & (F.col("_parts").isNull() | (F.size("_parts") == 0))
+        bad = F.col(GEOM).isNotNull() & (F.col("_parts").isNull() | (F.col("_parts") == 0))
         found.append(issue(~bad, "geometry", F.lit("geometry is invalid")))
     for name in unique:
         lay.require(name)
         key = text(name)
         first = df.groupBy(key.alias("_key")).agg(F.min(FID).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        df = df.withColumn("_key", key).join(first, "_key", "left").withColumnRenamed("_first", f"_first_{name}").drop("_key")
+        df = df.withColumn("_key", key).join(small(first), "_key", "left").withColumnRenamed("_first", f"_first_{name}").drop("_key")
         again = F.coalesce(F.col(f"_first_{name}") < F.col(FID), F.lit(False))
         blank = F.col(f"`{name}`").isNotNull() & is_blank(key)
         found.append(issue(~blank, "unique", F.lit(f"{name} is blank")))
@@ -68,12 +72,11 @@ def measure(lay: Layer) -> Layer:
     """``length`` and ``area`` in the plane; a polygon's length is its perimeter, holes are an error."""
     if not lay.meta.crs or geographic(lay.meta.crs):
         raise LayerError("measures need a projected CRS")
-    rows = lay.df.withColumn("_type", geometry.geometry_type(F.col(GEOM))).withColumn("_parts", geometry.parts_of(GEOM))
-    first = F.get("_parts", F.lit(0))
-    bad = F.col("_type").isNull() | ~F.col("_type").isin("POINT", "LINESTRING", "POLYGON") | (F.size("_parts") > 1)
+    rows = lay.df.withColumn("_type", geometry.geometry_type(F.col(GEOM))).withColumn("_m", geometry.metrics_of(GEOM))
+    bad = F.col("_type").isNull() | ~F.col("_type").isin("POINT", "LINESTRING", "POLYGON") | (F.col("_m.sequences") > 1)
     fail = F.raise_error(F.lit("measures need points, lines or polygons without holes")).cast("double")
-    length = F.when(bad, fail).when(F.col("_type") == "POINT", 0.0).otherwise(geometry.length_of(first))
-    area = F.when(F.col("_type") == "POLYGON", geometry.area_of(first)).otherwise(0.0)
+    length = F.when(bad, fail).when(F.col("_type") == "POINT", 0.0).otherwise(F.col("_m.length"))
+    area = F.when(F.col("_type") == "POLYGON", F.col("_m.area")).otherwise(0.0)
     names = [n for n in lay.meta.names() if n not in ("length", "area")]
     df = rows.select(FID, *[F.col(f"`{n}`") for n in names], length.alias("length"), area.alias("area"), GEOM)
     fields = tuple(f for f in lay.meta.fields if f.name in names) + (Field("length", "number"), Field("area", "number"))
@@ -130,7 +133,14 @@ def robust_bounds(lay: Layer) -> dict | None:
     return {"minx": max(minx, a - px), "miny": max(miny, b - py), "maxx": min(maxx, c + px), "maxy": min(maxy, d + py)}
 
 
+#: Groups that one task puts in order.
+ORDERED_GROUPS = 100_000
+
+
 def first_seen_groups(df: DataFrame, group: str) -> DataFrame:
-    """(group, number): groups numbered from 1 in order of their first fid; one row a group is ordered."""
+    """(group, number): groups numbered from 1 in order of their first fid, by ranges where they are many."""
     firsts = df.groupBy(group).agg(F.min(FID).alias("_first"))
-    return firsts.withColumn("number", F.row_number().over(Window.orderBy("_first"))).drop("_first")
+    if firsts.limit(ORDERED_GROUPS + 1).count() <= ORDERED_GROUPS:
+        return firsts.withColumn("number", F.row_number().over(Window.orderBy("_first"))).drop("_first")
+    ranged = numbered(firsts.withColumnRenamed("_first", FID), "number")
+    return ranged.select(group, F.col("number").cast("int").alias("number"))

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .functions import crs, geometry, text
 from .model import Layer, layer
@@ -145,20 +144,22 @@ def remap_fields(spark, sf_dir):
 
 
 def _customer_table(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select("c_custkey", "c_mktsegment", "c_acctbal")
+    """Every tenth customer has a key that no order names."""
+    key = F.when(F.col("c_custkey") % 10 == 0, -F.col("c_custkey") - 1).otherwise(F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select(key.alias("c_custkey"), "c_mktsegment", "c_acctbal")
 
 
-@register(f"SELECT r.fid, r.o_custkey, c.c_mktsegment FROM {RECTS} r LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON r.o_custkey = c.c_custkey")
+@register(f"SELECT r.fid, r.o_custkey, c.c_mktsegment FROM {RECTS} r LEFT JOIN customer c ON r.o_custkey = CASE WHEN c.c_custkey % 10 = 0 THEN -c.c_custkey - 1 ELSE c.c_custkey END")
 def join_table(spark, sf_dir):
     got = combine.join_table(rects(spark, sf_dir), _customer_table(spark, sf_dir).drop("c_acctbal"), "o_custkey", "c_custkey")
     return got.layer.df.select("fid", "o_custkey", "c_mktsegment")
 
 
 @register(
-    """SELECT (SELECT count(*) FROM orders o WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_custkey % 10 <> 0)) AS matched,
- (SELECT count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_custkey % 10 <> 0)) AS unmatched_features,
- (SELECT count(*) FROM customer c WHERE c.c_custkey % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)) AS unmatched_rows,
- CAST(0 AS BIGINT) AS duplicate_rows"""
+    """SELECT (SELECT count(*) FROM orders o WHERE EXISTS (SELECT 1 FROM k WHERE k.key = o.o_custkey)) AS matched,
+ (SELECT count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = o.o_custkey)) AS unmatched_features,
+ (SELECT count(*) FROM k WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = k.key)) AS unmatched_rows,
+ CAST(0 AS BIGINT) AS duplicate_rows""".join(["WITH k AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN -c_custkey - 1 ELSE c_custkey END AS key FROM customer) ", ""])
 )
 def join_report(spark, sf_dir):
     got = combine.join_table(rects(spark, sf_dir), _customer_table(spark, sf_dir), "o_custkey", "c_custkey")
@@ -259,10 +260,20 @@ def candidate_pairs(spark, sf_dir):
     return pairs.agg(F.count("*").alias("pairs"), F.sum(F.col("fid") * 7 + F.col("other")).alias("mark"))
 
 
-@register()
+#: A point is a corner if no two others of its group enclose it: all directions from it lie within less than half a turn.
+@register(
+    f"""WITH p AS (SELECT DISTINCT c_nationkey, x, y FROM {CUST}),
+ seen AS (SELECT a.c_nationkey, a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS t FROM p a JOIN p b ON a.c_nationkey = b.c_nationkey AND (a.x <> b.x OR a.y <> b.y)),
+ gaps AS (SELECT c_nationkey, x, y, coalesce(lead(t) OVER w, first_value(t) OVER w + 2 * pi()) - t AS gap FROM seen WINDOW w AS (PARTITION BY c_nationkey, x, y ORDER BY t)),
+ corners AS (SELECT c_nationkey, x, y FROM gaps GROUP BY ALL HAVING max(gap) > pi() + 1e-9),
+ numbers AS (SELECT c_nationkey, row_number() OVER (ORDER BY min(fid)) AS fid FROM {CUST} GROUP BY c_nationkey)
+ SELECT fid, 'B' || lpad(CAST(fid AS VARCHAR), 6, '0') AS shape_id, c_nationkey, x, y FROM corners JOIN numbers USING (c_nationkey)"""
+)
 def hull_by_group(spark, sf_dir):
     hulls = shapes.hull_by_group(customers(spark, sf_dir), "c_nationkey")
-    return hulls.df.select("fid", "shape_id", "c_nationkey", geometry.to_wkt("geom").alias("wkt"))
+    ring = F.get(geometry.parts_of("geom"), F.lit(0))
+    corners = hulls.df.select("fid", "shape_id", "c_nationkey", F.explode(F.slice(ring, 1, F.size(ring) - 1)).alias("p"))
+    return corners.select("fid", "shape_id", "c_nationkey", "p.x", "p.y")
 
 
 @register(
@@ -274,15 +285,73 @@ def dissolve_rows(spark, sf_dir):
     return shapes.outline_totals(shapes.dissolve_coverage(grouped, "row"))
 
 
+#: Pairs of a customer's square and its neighbour's, which meet in part, in full or not at all.
+SQUARES = """(SELECT fid, x AS x0, y AS y0, x + 10 + fid % 7 AS x1, y + 12 AS y1, x + fid % 23 AS u0, y + fid % 5 AS v0, x + fid % 23 + 9 AS u1, y + fid % 5 + 6 AS v1 FROM """ + CUST + ")"
+_COMMON = "greatest(0, least(x1, u1) - greatest(x0, u0)) * greatest(0, least(y1, v1) - greatest(y0, v0))"
+
+
+def _squares(spark, sf_dir) -> tuple[Layer, Layer]:
+    f, x, y = F.col("fid"), F.col("x"), F.col("y")
+    rows = customers_xy(spark, sf_dir).select("fid", "x", "y")
+    return (
+        _boxes(rows.select("fid", _bbox(x, y, x + 10 + f % 7, y + 12)), "squares"),
+        _boxes(rows.select("fid", _bbox(x + f % 23, y + f % 5, x + f % 23 + 9, y + f % 5 + 6)), "others"),
+    )
+
+
+def _overlay_area(spark, sf_dir, operation: str) -> DataFrame:
+    got = shapes.spatial(operation, list(_squares(spark, sf_dir)))
+    return got.df.select("fid", _r(shapes.area_of("geom")).alias("area"))
+
+
+@register(f"SELECT fid, round({_COMMON}, 6) AS area FROM {SQUARES}")
+def intersect_positional(spark, sf_dir):
+    return _overlay_area(spark, sf_dir, "intersect")
+
+
+@register(f"SELECT fid, round((x1 - x0) * (y1 - y0) + (u1 - u0) * (v1 - v0) - {_COMMON}, 6) AS area FROM {SQUARES}")
+def union_positional(spark, sf_dir):
+    return _overlay_area(spark, sf_dir, "union")
+
+
+@register(f"SELECT fid, round((x1 - x0) * (y1 - y0) - {_COMMON}, 6) AS area FROM {SQUARES}")
+def difference_positional(spark, sf_dir):
+    return _overlay_area(spark, sf_dir, "difference")
+
+
+@register(f"SELECT fid, round(16 * 25 * sin(pi() / 16), 6) AS area, x - 5 AS minx, y + 5 AS maxy FROM {CUST}")
+def buffer_points(spark, sf_dir):
+    got = shapes.buffer(customers(spark, sf_dir), 5.0).df
+    return got.select("fid", _r(shapes.area_of("geom")).alias("area"), geometry.bbox_of("geom").alias("b")).select("fid", "area", _r("b.minx").alias("minx"), _r("b.maxy").alias("maxy"))
+
+
+@register(f"SELECT fid, round((x1 - x0) * (y1 - y0) + 2 * 7 * ((x1 - x0) + (y1 - y0)) + 16 * 49 * sin(pi() / 16), 4) AS area FROM {NATIONS}")
+def buffer_polygons(spark, sf_dir):
+    return shapes.buffer(nations(spark, sf_dir), 7.0).df.select("fid", _r(shapes.area_of("geom"), 4).alias("area"))
+
+
+@register("SELECT n_nationkey // 5 AS \"row\", CAST(min(n_nationkey) // 5 + 1 AS BIGINT) AS fid, 2000.0::DOUBLE * 2000 * count(*) AS area, CAST(5 AS BIGINT) AS corners FROM nation GROUP BY ALL")
+def dissolve_polygons(spark, sf_dir):
+    lay = nations(spark, sf_dir)
+    rows = layer(lay.df.withColumn("row", F.floor((F.col("fid") - 1) / 5)), "nations", METRES, "POLYGON")
+    got = shapes.dissolve(rows, 2500.0, "row").df
+    return got.select("row", "fid", shapes.area_of("geom").alias("area"), F.size(F.get(geometry.parts_of("geom"), F.lit(0))).cast("long").alias("corners"))
+
+
 @register(
-    f"""SELECT fid, CASE WHEN ix1 > ix0 AND iy1 > iy0 THEN (ix1 - ix0) * (iy1 - iy0) ELSE 0 END AS area FROM (SELECT a.fid, greatest(a.x0, b.x0) ix0, greatest(a.y0, b.y0) iy0, least(a.x1, b.x1) ix1, least(a.y1, b.y1) iy1
- FROM (SELECT *, row_number() OVER (ORDER BY fid) p FROM {NATIONS}) a JOIN (SELECT *, row_number() OVER (ORDER BY fid) p FROM {RECTS} WHERE fid <= 25) b USING (p))"""
+    f"""SELECT fid, shape_id, round(a - q, 6) AS area FROM (SELECT r.fid, n.shape_id,
+ greatest(0, least(r.x1, n.x1) - greatest(r.x0, n.x0)) * greatest(0, least(r.y1, n.y1) - greatest(r.y0, n.y0)) AS a,
+ greatest(0, least(r.x1, n.x1) - greatest(r.x0, n.x0 + 1000)) * greatest(0, least(r.y1, n.y1) - greatest(r.y0, n.y0 + 1000)) AS q
+ FROM {RECTS} r JOIN {NATIONS} n ON r.x0 <= n.x1 AND n.x0 <= r.x1 AND r.y0 <= n.y1 AND n.y0 <= r.y1) WHERE a > q"""
 )
-def intersect_positional(spark, sf_dir):
-    other = rects(spark, sf_dir)
-    got = shapes.intersect_positional(nations(spark, sf_dir), other.with_df(other.df.where("fid <= 25")))
-    parts = geometry.parts_of("geom")
-    return got.df.select("fid", F.coalesce(geometry.area_of(F.get(parts, F.lit(0))), F.lit(0.0)).alias("area"))
+def boundary_split_corners(spark, sf_dir):
+    """Boundaries with a corner missing, so none is convex."""
+    b = nations_box(spark, sf_dir)
+    x, y = F.col("bbox.minx"), F.col("bbox.miny")
+    ring = F.array(*[F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ((0, 0), (2000, 0), (2000, 1000), (1000, 1000), (1000, 2000), (0, 2000))])
+    rows = b.select("fid", "n_name", "shape_id", geometry.ordered_polygon(ring).alias("geom"))
+    split = shapes.boundary_split(rects(spark, sf_dir), layer(rows, "corners", METRES, "POLYGON"), 2000.0)
+    return split.df.select("fid", "shape_id", _r(shapes.area_of("geom")).alias("area"))
 
 
 @register(f"SELECT fid, round(x * 6378137.0 * pi() / 180, 3) AS mx, round(asinh(tan(y * pi() / 180)) * 6378137.0, 3) AS my FROM {EVENTS}")
@@ -305,7 +374,17 @@ def tile_points(spark, sf_dir):
     return tiled.groupBy("tx", "ty").agg(F.count("*").alias("n"))
 
 
-@register()
+@register(
+    """WITH v AS (SELECT l_orderkey, l_partkey::DOUBLE AS x1, l_suppkey::DOUBLE AS y1, lag(l_partkey::DOUBLE) OVER w AS x0, lag(l_suppkey::DOUBLE) OVER w AS y0
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+ s AS (SELECT x0, y0, x1, y1, x1 - x0 AS dx, y1 - y0 AS dy FROM v WHERE x0 IS NOT NULL AND (x0 <> x1 OR y0 <> y1)),
+ c AS (SELECT *, unnest(range(CAST(floor(least(x0, x1) / 256) AS BIGINT), CAST(floor(greatest(x0, x1) / 256) AS BIGINT) + 1)) AS tx FROM s),
+ t AS (SELECT *, unnest(range(CAST(floor(least(y0, y1) / 256) AS BIGINT), CAST(floor(greatest(y0, y1) / 256) AS BIGINT) + 1)) AS ty FROM c),
+ u AS (SELECT *, CASE WHEN dx = 0 THEN 0 ELSE (tx * 256.0::DOUBLE - x0) / dx END AS a, CASE WHEN dx = 0 THEN 1 ELSE (tx * 256.0::DOUBLE + 256 - x0) / dx END AS b,
+  CASE WHEN dy = 0 THEN 0 ELSE (ty * 256.0::DOUBLE - y0) / dy END AS c, CASE WHEN dy = 0 THEN 1 ELSE (ty * 256.0::DOUBLE + 256 - y0) / dy END AS d FROM t),
+ p AS (SELECT *, greatest(0, least(a, b), least(c, d)) AS f, least(1, greatest(a, b), greatest(c, d)) AS g FROM u)
+ SELECT CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, count(*) AS n, round(sum(sqrt((dx * g - dx * f) ** 2 + (dy * g - dy * f) ** 2)), 3) AS length FROM p WHERE f < g GROUP BY ALL"""
+)
 def tile_lines(spark, sf_dir):
     cut = display.tile_segments(display.segments_of(order_lines(spark, sf_dir).df), 256.0)
     length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
@@ -362,12 +441,6 @@ def median_spans(spark, sf_dir):
     return summarise.median_spans(rects(spark, sf_dir))
 
 
-@register("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
-def json_properties(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.from_json("props", "k bigint").alias("p"))
-    return rows.groupBy("p.k").agg(F.count("*").alias("n"))
-
-
 @register(f"SELECT fid, o_totalprice FROM {RECTS} WHERE greatest(x1 - x0, y1 - y0) >= 10 AND (x1 - x0) * (y1 - y0) >= 400")
 def outline_parcels(spark, sf_dir):
     return display.outline_parcels(rects_box(spark, sf_dir), 2.0).select("fid", "o_totalprice")
@@ -378,12 +451,6 @@ def every_kth(spark, sf_dir):
     return display.every_kth(customers(spark, sf_dir).df, 16).select("fid", "c_name")
 
 
-@register("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS vertex FROM lineitem")
-def line_vertices(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).cast("long").alias("vertex"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _ALL.items()}
 

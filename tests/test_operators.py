@@ -21,46 +21,52 @@ def make(spark, rows, fields, crs="EPSG:5186", kind="POINT", name="layer"):
 
 @pytest.fixture(scope="module")
 def graded(spark):
-    return make(spark, [(1, "A", "POINT (0 0)"), (2, "B", "POINT (1 0)"), (3, "A", "POINT (0 1)")], ["grade string"])
+    """Three trees of two kinds."""
+    rows = [(1, "oak", "POINT (0 0)"), (2, "elm", "POINT (1 0)"), (3, "oak", "POINT (0 1)")]
+    return make(spark, rows, ["grade string"])
 
 
 def test_filter_and_split(graded):
-    assert select.filter_rule(graded, 'return feature.grade == "A"').df.count() == 2
-    assert select.filter_property(graded, "grade", "B").df.count() == 1
-    parts = select.split_rule(graded, "return feature.grade", "result")
-    assert [(p.meta.name, p.df.count()) for p in parts] == [("result_A", 2), ("result_B", 1)]
+    assert [r.fid for r in select.filter_rule(graded, 'return feature.grade ~= "elm"').df.orderBy("fid").collect()] == [1, 3]
+    assert select.filter_property(graded, "grade", "elm").df.first().fid == 2
+    parts = {p.meta.name: p.df.count() for p in select.split_rule(graded, 'return feature.grade == "oak" and "old" or feature.grade', "trees")}
+    assert parts == {"trees_old": 2, "trees_elm": 1}
     with pytest.raises(LayerError):
-        select.filter_property(graded, "none", "A")
+        select.filter_property(graded, "height", "elm")
 
 
 def test_remap_swaps(spark):
-    lay = make(spark, [(1, "L", "R", "POINT (0 0)")], ["left string", "right string"])
-    row = select.remap(lay, {"left": "right", "right": "left"}).df.first()
-    assert (row["left"], row["right"]) == ("R", "L")
+    lay = make(spark, [(7, "up", "down", "POINT (3 4)")], ["first string", "second string"])
+    row = select.remap(lay, {"second": "first", "first": "second"}).df.first()
+    assert (row["first"], row["second"], row["fid"]) == ("down", "up", 7)
     with pytest.raises(LayerError):
-        select.remap(lay, {"left": "RIGHT"})
-
-
-def test_join_report_and_errors(spark):
-    lay = make(spark, [(1, "001", "POINT (0 0)"), (2, "001", "POINT (0 0)"), (3, "missing", "POINT (0 0)"), (4, None, "POINT (0 0)")], ["key string"])
-    rows = [("001", "A"), ("unused", "B"), (" ", "C")]
-    got = combine.join_table(lay, spark.createDataFrame(rows, "id string, grade string"), "key", "id")
-    assert [r.grade for r in got.layer.df.orderBy("fid").collect()] == ["A", "A", None, None]
-    assert tuple(got.report.first()) == (2, 2, 2, 0)
+        select.remap(lay, {"first": "SECOND"})
+
+
+def test_join_report_and_errors(spark, monkeypatch):
+    stops = make(spark, [(i, code, f"POINT ({i} 5)") for i, code in enumerate(["N7", "S2", "N7", "", "W9", None, "N7"], 10)], ["code string"])
+    rows = [("N7", "north"), ("S2", "south"), ("E4", "east"), ("E5", "east"), ("", "none"), (None, "none")]
+    table = spark.createDataFrame(rows, "stop string, side string")
+    for bound in (combine.is_small, lambda df: False):
+        monkeypatch.setattr(combine, "is_small", bound)
+        got = combine.join_table(stops, table, "code", "stop")
+        assert {r.fid: r.side for r in got.layer.df.collect()} == {10: "north", 11: "south", 12: "north", 13: None, 14: None, 15: None, 16: "north"}
+        assert tuple(got.report.first()) == (4, 3, 4, 0)
     with pytest.raises(LayerError, match="duplicate"):
-        combine.join_table(lay, spark.createDataFrame([*rows, ("001", "D")], "id string, grade string"), "key", "id")
+        combine.join_table(stops, table.union(table), "code", "stop")
     with pytest.raises(LayerError, match="both sides"):
-        combine.join_table(lay, spark.createDataFrame([("1", "x")], "id string, KEY string"), "key", "id")
+        combine.join_table(stops, table.withColumnRenamed("side", "Code"), "code", "stop")
 
 
 def test_merge_and_append(spark, graded):
     with pytest.raises(LayerError, match="duplicate feature id"):
         combine.merge([graded, graded])
-    assert combine.append([graded, graded]).df.agg(F.countDistinct("fid")).first()[0] == 6
-    other = make(spark, [(9, "C", "POINT (0 0)")], ["grade string"], crs="")
-    assert combine.merge([graded, other]).meta.name == "layer_merged"
+    assert sorted(r.fid for r in combine.append([graded, graded, graded]).df.collect()) == list(range(1, 10))
+    far = make(spark, [(40, "ash", "POINT (8 8)"), (41, "ash", "POINT (8 9)")], ["grade string"], crs="")
+    merged = combine.merge([far, graded])
+    assert merged.df.count() == 5 and (merged.meta.name, merged.meta.crs) == ("layer_merged", "EPSG:5186")
     with pytest.raises(LayerError, match="CRS"):
-        combine.merge([graded, make(spark, [(9, "C", "POINT (0 0)")], ["grade string"], crs="EPSG:4326")])
+        combine.merge([graded, far.with_df(far.df, crs="EPSG:4326")])
 
 
 def test_validation(spark):
@@ -83,7 +89,7 @@ def test_measures(spark):
 
 
 def test_totals_and_extent(spark, graded):
-    assert [tuple(r) for r in summarise.group_totals(graded, "grade").collect()] == [("A", 2, 0.0), ("B", 1, 0.0)]
+    assert [tuple(r) for r in summarise.group_totals(graded, "grade").collect()] == [("elm", 1, 0.0), ("oak", 2, 0.0)]
     with pytest.raises(Exception, match="not a number"):
         summarise.group_totals(graded, "grade", "grade").collect()
     one = make(spark, [(1, "POINT (5 5)")], [])
@@ -109,6 +115,115 @@ def test_shapes(spark):
     assert shapes.boundary_split(two, touch, 4.0).df.count() == 0
 
 
+def areas(lay):
+    return {r.fid: round(r.a, 6) for r in lay.df.select("fid", shapes.area_of("geom").alias("a")).collect()}
+
+
+def test_overlay_operations(spark):
+    left = make(spark, [(1, "x", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"), (2, "y", "POLYGON ((0 0, 6 0, 6 6, 0 6, 0 0), (2 2, 2 4, 4 4, 4 2, 2 2))")], ["k string"], kind="POLYGON")
+    right = make(spark, [(5, "POLYGON ((2 2, 6 2, 6 6, 2 6, 2 2))"), (9, "POLYGON ((3 3, 9 3, 9 9, 3 9, 3 3))")], [], kind="POLYGON")
+    assert areas(shapes.spatial("intersect", [left, right])) == {1: 4.0, 2: 8.0}
+    assert areas(shapes.spatial("union", [left, right])) == {1: 28.0, 2: 60.0}
+    assert areas(shapes.spatial("difference", [left, right])) == {1: 12.0, 2: 24.0}
+    apart = make(spark, [(i, f"POLYGON (({x} 0, {x + 1} 0, {x} 1, {x} 0))") for i, x in ((1, 50), (2, 60))], [], kind="POLYGON")
+    got = shapes.spatial("intersect", [left, apart]).df.select("k", geometry.to_wkt("geom").alias("w")).collect()
+    assert {(r.k, r.w) for r in got} == {("x", "POLYGON EMPTY"), ("y", "POLYGON EMPTY")}
+    for bad in (("xor", [left, right]), ("union", [left]), ("buffer", [left])):
+        with pytest.raises(LayerError):
+            shapes.spatial(*bad)
+    with pytest.raises(LayerError, match="CRS"):
+        shapes.spatial("union", [left, right.with_df(right.df, crs="EPSG:4326")])
+
+
+def test_buffers(spark):
+    import math
+
+    lay = make(spark, [(1, "POINT (3 3)"), (2, "LINESTRING (0 0, 10 0)"), (3, "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"), (4, None)], [], kind="POINT")
+    disc = 16 * math.sin(math.pi / 16)
+    got = {r.fid: r.a for r in shapes.buffer(lay, 1.0).df.where("geom is not null").select("fid", shapes.area_of("geom").alias("a")).collect()}
+    assert got == pytest.approx({1: disc, 2: disc + 20, 3: disc + 32}, abs=1e-6)
+    shrunk = shapes.buffer(lay, -1.0).df.where("geom is not null").select("fid", geometry.to_wkt("geom").alias("w")).collect()
+    assert [(r.fid, r.w) for r in shrunk] == [(3, "POLYGON ((1 1, 3 1, 3 3, 1 3, 1 1))")]
+    with pytest.raises(LayerError):
+        shapes.buffer(lay, 0)
+
+
+def test_dissolve_and_split_of_any_shape(spark):
+    cells = [(i + 1, "ab"[i % 2], f"POLYGON (({x} {y}, {x + 2} {y}, {x + 2} {y + 2}, {x} {y + 2}, {x} {y}))") for i, (x, y) in enumerate((x, y) for x in (0, 2, 4) for y in (0, 2, 4) if (x, y) != (2, 2))]
+    lay = make(spark, cells, ["block string"], kind="POLYGON")
+    whole = shapes.dissolve(lay, 2.0)
+    row = whole.df.select(geometry.to_wkt("geom")).first()[0]
+    assert row == "MULTIPOLYGON (((0 0, 6 0, 6 6, 0 6, 0 0), (2 2, 2 4, 4 4, 4 2, 2 2)))"
+    assert areas(shapes.dissolve(lay, 2.0, "block", rounds=1)) == {1: 16.0, 2: 16.0}
+    assert shapes.dissolve(lay, 2.0, outline=True).df.select(geometry.to_wkt("geom")).first()[0].startswith("MULTILINESTRING ((0 0, 6 0")
+    bend = make(spark, [(1, "S", "POLYGON ((-1 -1, 7 -1, 7 1, 1 1, 1 7, -1 7, -1 -1))")], ["shape_id string"], kind="POLYGON")
+    got = areas(shapes.boundary_split(lay, bend, 4.0))
+    assert got == {1: 3.0, 2: 2.0, 3: 2.0, 4: 2.0, 6: 2.0}
+
+
+def test_overlay_against_a_raster():
+    """Random simple polygons, with several on a side, against parity on a grid of places."""
+    import random
+
+    import numpy as np
+
+    from geoloom.functions import overlay, planar
+
+    rng = random.Random(21)
+    at = (np.arange(120) + 0.5) / 120 * 16 - 8
+    x, y = np.meshgrid(at, at)
+
+    def star():
+        while True:
+            turns, cx, cy = sorted(rng.random() * 6.283 for _ in range(rng.randint(3, 12))), rng.uniform(-2, 2), rng.uniform(-2, 2)
+            ring = planar.simple_ring([(cx + r * np.cos(t), cy + r * np.sin(t)) for t in turns for r in [rng.uniform(1, 5)]])
+            if ring:
+                return [np.array(ring)]
+
+    def raster(polygons):
+        out = np.zeros(x.shape, bool)
+        for p in polygons:
+            odd = np.zeros(x.shape, int)
+            for ring in p:
+                for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:]):
+                    if y0 != y1:
+                        odd += ((y0 > y) != (y1 > y)) & (x0 + (y - y0) * (x1 - x0) / (y1 - y0) > x)
+            out |= odd % 2 == 1
+        return out
+
+    for _ in range(25):
+        a, b = [star() for _ in range(rng.randint(1, 3))], [star() for _ in range(rng.randint(1, 2))]
+        ra, rb = raster(a), raster(b)
+        for found, want in ((overlay.union(a, b), ra | rb), (overlay.intersection(a, b), ra & rb), (overlay.difference(a, b), ra & ~rb)):
+            assert (raster(found) != want).sum() == 0
+
+
+def test_batch_decoding_equals_the_codec():
+    """Types mixed in one column, nulls, broken bytes, empty and three-dimensional geometries."""
+    import struct
+
+    import pyarrow as pa
+
+    from geoloom.functions import batch
+
+    texts = ["POINT (1 2)", "POINT EMPTY", "LINESTRING (0 0, 3 4, 3 5)", "POLYGON ((0 0, 4 0, 4 4, 0 0))", "POLYGON ((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOINT (1 1, 2 2)", "GEOMETRYCOLLECTION (POINT (5 5))"]
+    column = [codec.encode(codec.parse_wkt(t)) for t in texts] + [None, b"", b"\x01\x02", struct.pack("<BI3d", 1, 1001, 7, 8, 9)]
+    for order in (column, column[::-1], column[1:2] * 2, column[:1] * 3, []):
+        d = batch.decode_all(pa.array(order, pa.binary()))
+        want = []
+        for data in order:
+            try:
+                want.append(None if data is None else [x.tolist() for x in codec.lines(codec.decode(data))])
+            except codec.GeometryError:
+                want.append(None)
+        got = batch.nested(d).to_pylist()
+        assert [None if g is None else [[[p["x"], p["y"]] for p in s] for s in g] for g in got] == want
+        boxes = batch.bounds(d).to_pylist()
+        assert [b["minx"] is None for b in boxes] == [not w for w in want]
+    one = batch.metrics(batch.decode_all(pa.array(column, pa.binary()))).to_pylist()
+    assert [r["length"] for r in one[:4]] == [0.0, 0.0, 6.0, 8.0 + 32**0.5] and one[3]["area"] == 8.0 and one[7]["sequences"] is None
+
+
 def test_display(spark, graded):
     view = display.Viewport(0, 0, 1, 512, 512)
     tiles = display.visible_tiles(view)
@@ -121,6 +236,13 @@ def test_display(spark, graded):
     segments = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (2, 10.0, 0.0, 0.0, 0.0)], "fid long, x0 double, y0 double, x1 double, y1 double")
     assert display.shared_edges_once(segments).count() == 1
     assert display.tile_segments(segments.where("fid = 1"), 4.0).agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == 10.0
+    steep = [(1, 0.5, 0.5, 0.5, 30.0), (2, -3.0, 9.0, 11.0, -5.0), (3, 4.0, 4.0, 8.0, 8.0), (4, 2.0, 2.0, 2.0, 2.0), (5, 8.0, 1.0, 8.0, 3.0)]
+    cut = display.tile_segments(spark.createDataFrame(steep, segments.schema), 4.0).collect()
+    length = lambda r: ((r.x1 - r.x0) ** 2 + (r.y1 - r.y0) ** 2) ** 0.5
+    for fid, x0, y0, x1, y1 in steep:
+        assert sum(length(r) for r in cut if r.fid == fid) == pytest.approx(((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5)
+    assert {(r.tx, r.ty) for r in cut if r.fid == 1} == {(0, i) for i in range(8)} and {(r.tx, r.ty) for r in cut if r.fid == 3} == {(1, 1)}
+    assert {(r.tx, r.ty) for r in cut if r.fid == 5} == {(2, 0)} and len([r for r in cut if r.fid == 2]) <= 8
 
 
 def test_pages_and_empty_layers(spark, graded):
@@ -193,7 +315,7 @@ def test_drawings(spark, tmp_path, graded):
     path = str(tmp_path / "x.dxf")
     cad.write_dxf([display.label_field(graded, "grade")], path)
     got = cad.read_dxf(spark, path)
-    assert got.df.where("layer = 'layer'").count() == 3 and got.df.where("text = 'A'").count() == 2
+    assert got.df.where("layer = 'layer'").count() == 3 and got.df.where("text = 'oak'").count() == 2
     with pytest.raises(LayerError):
         cad.write_dxf([graded, graded], path)
 
@@ -203,9 +325,12 @@ def test_database_texts(graded):
     for bad in ("a.b.c", "a;b", "1a", "x" * 64):
         with pytest.raises(LayerError):
             database.quoted(bad)
-    assert database.replace_statements("t", "s", "EPSG:5186")[0] == "BEGIN"
+    assert [s.split()[0] for s in database.replace_statements("t", "s", "EPSG:5186")] == ["CREATE", "DELETE", "INSERT", "DROP"]
+    assert [s.split()[0] for s in database.append_statements("t", "s", "EPSG:5186")] == ["CREATE", "INSERT", "DROP"]
+    assert database.delete_statement("a.t", 7) == 'DELETE FROM "a"."t" WHERE id = 7'
+    assert "HAVING" in database.catalog_query() and "LIMIT 20" in database.page_query("t", 5, 20)
     assert "ST_Intersects" in database.scan_query("t", (0, 0, 1, 1), "EPSG:4326")
-    assert [r.properties for r in database.as_rows(graded).orderBy("id").limit(1).collect()] == ['{"grade":"A"}']
+    assert [r.properties for r in database.as_rows(graded).orderBy("id").limit(1).collect()] == ['{"grade":"oak"}']
 
 
 def test_project(graded, tmp_path):
