@@ -112,7 +112,3 @@ def sample_evenly(df: DataFrame, total: int, count: int) -> DataFrame:
     """The rows with the fids 1 + i * (total - 1) / (count - 1)."""
     wanted = sorted({1 + i * (total - 1) // max(1, count - 1) for i in range(min(count, total))})
     return df.where(F.col(FID).isin(wanted))
-
-
-def cast_fields(lay: Layer) -> DataFrame:
-    return lay.df.select(FID, *[F.col(f"`{f.name}`").cast(TYPES[f.type]).alias(f.name) for f in lay.meta.fields], GEOM)

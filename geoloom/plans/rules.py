@@ -33,6 +33,8 @@ _TOKEN = re.compile(
     r"""|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
     r"""|(?P<sign>==|~=|<=|>=|\.\.|[-+*/%^#<>()\[\],.]))"""
 )
+#: Bytes that a repeated text may have, and a rule's source.
+MAX_TEXT = MAX_SOURCE = 1 << 20
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", '"': '"', "'": "'"}
 _WORDS = {"and", "or", "not", "nil", "true", "false", "return"}
 
@@ -43,9 +45,13 @@ class Value:
 
     column: Column
     type: str
+    #: What a literal says.
+    text: str | None = None
 
 
 def tokens(source: str) -> list[tuple[str, str]]:
+    if len(source.encode()) > MAX_SOURCE:
+        raise RuleError("the rule is too long")
     out, at = [], 0
     source = re.sub(r"--[^\n]*", "", source).rstrip().rstrip(";").rstrip()
     while at < len(source):
@@ -187,9 +193,9 @@ class _Compiler:
         kind, token = self.tokens[self.at]
         self.at += 1
         if kind == "number":
-            return Value(F.lit(float(int(token, 16)) if token[:2].lower() == "0x" else float(token)), "number")
+            return Value(F.lit(float(int(token, 16)) if token[:2].lower() == "0x" else float(token)), "number", token)
         if kind == "text":
-            return Value(F.lit(self.unquote(token)), "text")
+            return Value(F.lit(self.unquote(token)), "text", self.unquote(token))
         if token == "(":
             value = self.either()
             self.want(")")
@@ -261,7 +267,9 @@ class _Compiler:
                 found = [a.column for a in args if a.type != "nil"]
                 return Value(texts.first_filled(*found), kinds.pop()) if found else Value(F.lit(None), "nil")
             if name == "format_number":
-                digits = next((int(v) for k, v in self.tokens[self.at - 2 : self.at - 1] if k == "number"), 0) if len(args) > 1 else 0
+                if len(args) > 1 and args[1].text is None:
+                    raise RuleError("format_number: argument 2 must be a number as it stands")
+                digits = int(float(args[1].text)) if len(args) > 1 else 0
                 return Value(texts.format_number(arg(0, "number", "text"), digits), "text")
             if name == "tonumber":
                 value = arg(0, "number", "text")
@@ -273,22 +281,31 @@ class _Compiler:
         if owner == "string":
             value = arg(0, "text") if name != "char" else None
             if name == "sub":
-                n, first = F.length(value), self.number(args[1]).cast("int")
+                # Bytes, as in ``len``: a cut inside a character leaves the replacement sign.
+                raw, first = value.cast("binary"), self.number(args[1]).cast("int")
+                n = F.octet_length(value)
                 last = self.number(args[2]).cast("int") if len(args) > 2 else F.lit(-1)
                 start = F.when(first < 0, F.greatest(n + first + 1, F.lit(1))).otherwise(F.greatest(first, F.lit(1)))
                 stop = F.when(last < 0, n + last + 1).otherwise(F.least(last, n))
-                return Value(F.substring(value, start, F.greatest(stop - start + 1, F.lit(0))), "text")
+                part = F.substring(raw, start, F.greatest(stop - start + 1, F.lit(0)))
+                whole = F.length(value) == n
+                plain = F.substring(value, start, F.greatest(stop - start + 1, F.lit(0)))
+                return Value(F.when(whole, plain).otherwise(F.decode(part, "UTF-8")), "text")
             simple = {"upper": F.upper, "lower": F.lower, "reverse": F.reverse}
             if name in simple:
                 return Value(simple[name](value), "text")
             if name == "len":
                 return Value(F.octet_length(value).cast("double"), "number")
             if name == "rep":
-                return Value(F.repeat(value, self.number(args[1]).cast("int")), "text")
+                times = F.greatest(self.number(args[1]).cast("int"), F.lit(0))
+                large = F.octet_length(value) * times > MAX_TEXT
+                return Value(F.when(large, F.raise_error(F.lit("rep: the text is too long")).cast("string")).otherwise(F.repeat(value, times)), "text")
             if name == "char":
                 return Value(F.concat(*[F.chr(self.number(a).cast("long")) for a in args]), "text")
             if name == "format":
-                shape = self.unquote(next(v for k, v in reversed(self.tokens[: self.at]) if k == "text" and "%" in v))
+                if not args or args[0].text is None:
+                    raise RuleError("format: argument 1 must be a text as it stands")
+                shape = args[0].text
                 wanted = re.findall(r"%[-+ 0#]*[0-9]*(?:\.[0-9]+)?([sdfgqx%])", shape)
                 values = iter(args[1:])
                 cast = {"d": "long", "x": "long", "f": "double", "g": "double", "s": "string", "q": "string"}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.text import is_blank, trim_space
-from ..model import FID, GEOM, TYPES, Field, Layer, LayerError, LayerMeta
+from ..model import FID, GEOM, Field, Layer, LayerError, LayerMeta
 
 ENCODINGS = {"utf-8": "utf-8", "utf8": "utf-8", "cp949": "cp949", "euc-kr": "cp949"}
 DIAGNOSTICS = 100
@@ -176,10 +177,16 @@ def write_layer(lay: Layer, path: str) -> None:
     lay.df.select(*columns, geometry.to_wkt(GEOM).alias("WKT")).write.mode("overwrite").csv(path, header=True, nullValue="")
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A validation or aggregate report as one ordered CSV."""
-    df.write.mode("overwrite").csv(path, header=True)
+def write_report(df: DataFrame, path: str, order: list[str] = ()) -> None:
+    """A validation or aggregate report as one CSV file in the order of ``order``, replaced whole.
 
-
-def typed_columns(lay: Layer) -> DataFrame:
-    return lay.df.select(FID, *[F.col(f"`{f.name}`").cast(TYPES[f.type]) for f in lay.meta.fields], GEOM)
+    Rows come to the driver one partition at a time, in ranges of the order.
+    """
+    rows = df.orderBy(*order) if order else df
+    made = f"{path}.new"
+    with open(made, "w", encoding="utf-8", newline="") as out:
+        writer = csv.writer(out)
+        writer.writerow(df.columns)
+        for row in rows.toLocalIterator():
+            writer.writerow(["" if v is None else v for v in row])
+    os.replace(made, path)
