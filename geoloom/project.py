@@ -5,6 +5,7 @@ Layers are immutable, so a draft is a copy of the names and costs nothing.
 
 from __future__ import annotations
 
+import builtins
 import json
 import os
 from dataclasses import asdict, replace
@@ -12,7 +13,9 @@ from dataclasses import asdict, replace
 from pyspark.sql import functions as F
 
 from .functions import geometry
-from .model import FID, GEOM, Layer, LayerError, LayerMeta, Field
+from .model import FID, GEOM, Field, Layer, LayerError, LayerMeta
+from .operators import combine, display, select
+from .sources import catalog
 
 
 class Project:
@@ -128,13 +131,72 @@ class Project:
             if meta["source"] and not meta["source"].count("://"):
                 meta["source"] = os.path.relpath(meta["source"], folder)
             layers.append(meta)
-        with open(f"{path}.new", "w", encoding="utf-8") as out:
+        with builtins.open(f"{path}.new", "w", encoding="utf-8") as out:
             json.dump({"version": 1, "name": self.name, "crs": self.crs, "layers": layers}, out, ensure_ascii=False, indent=1)
         os.replace(f"{path}.new", path)
 
+    def filter(self, name: str, rule: str, made: str) -> None:
+        """The features for which a rule is true, as a further layer, in a draft of its own."""
+        found = select.filter_rule(self.layer(name), rule)
+        self.publish(found.with_df(found.df, name=made, source=""))
+
+    def merge(self, names: list[str], made: str) -> None:
+        """Several layers as one, the ids of each after the last one's."""
+        found = combine.append([self.layer(n) for n in names])
+        self.publish(found.with_df(found.df, name=made, source=""))
+
+    def label(self, name: str, rule: str | None, text: str, rotation: str | None = None) -> None:
+        """A layer's labels composed anew; the layer stays as it was if that fails."""
+        with self:
+            self._open()[name] = display.label_rule(self._editable(name), rule, text, rotation)
+
+    def visible(self) -> list[Layer]:
+        """The layers that are shown, in the order in which they are drawn."""
+        return [lay for lay in self._layers.values() if lay.meta.visible]
+
+    def show(self, name: str, visible: bool = True) -> None:
+        self._open()[name] = replace(self.layer(name), meta=replace(self.layer(name).meta, visible=visible))
+
+    def reorder(self, names: list[str]) -> None:
+        """The order of drawing; every layer must be named once."""
+        draft = self._open()
+        if sorted(names) != sorted(draft):
+            raise LayerError("an order names every layer once")
+        self._draft = {n: draft[n] for n in names}
+
+    def tree(self) -> list[dict]:
+        """Name, shown name, CRS and flags of each layer."""
+        shown = lambda m: {"name": m.name, "shown": m.display_name or m.name, "crs": m.crs, "visible": m.visible, "editable": m.editable, "locked": m.geometry_locked}
+        return [shown(lay.meta) for lay in self._layers.values()]
+
+    def save_layer(self, name: str, path: str) -> None:
+        """The layer written to a source, which it then names as its own."""
+        lay = self.layer(name)
+        catalog.save_layer(lay, path)
+        self._layers[name] = replace(lay, meta=replace(lay.meta, source=path))
+
+    def save_all(self, path: str) -> None:
+        """Every layer that no source holds as a table beside the project, then the project."""
+        stem = os.path.splitext(path)[0]
+        for i, name in enumerate(self._layers):
+            if not self._layers[name].meta.source:
+                self.save_layer(name, f"{stem}_{i + 1}.parquet")
+        self.save(path)
+
+    @staticmethod
+    def open(spark, path: str) -> Project:
+        """The project with its layers, read from their sources."""
+        name, crs, metas = Project.load(path)
+        project = Project(name, crs)
+        for meta in metas:
+            if not meta.source:
+                raise LayerError(f"layer without a source: {meta.name}")
+            project._layers[meta.name] = Layer(catalog.open_layer(spark, meta.source, meta.name, meta.crs).df, meta)
+        return project
+
     @staticmethod
     def load(path: str) -> tuple[str, str, list[LayerMeta]]:
-        with open(path, encoding="utf-8") as file:
+        with builtins.open(path, encoding="utf-8") as file:
             document = json.load(file)
         if document.get("version") != 1:
             raise LayerError("unknown project version")

@@ -451,9 +451,15 @@ def every_kth(spark, sf_dir):
     return display.every_kth(customers(spark, sf_dir).df, 16).select("fid", "c_name")
 
 
+def _registered() -> dict:
+    from . import round_trips  # noqa: F401 its queries register themselves
+
+    return _ALL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _ALL.items()}
+    return {name: f for name, (f, _) in _registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _registered().items() if sql}

@@ -213,13 +213,15 @@ def read_points(
         elif names != first:
             raise LayerError("different headers")
         cell = {n: F.get("cells", F.lit(i)) for i, n in enumerate(names)}
+        # The features' own id keeps its name.
+        shown = {n: f"source_{n.lower()}" if n.lower() in (FID, GEOM) else n for n in names}
         reason = F.when(F.col("problem").isNotNull(), F.col("problem"))
         reason = reason.when(_finite(cell[x]).isNull() | _finite(cell[y]).isNull(), "coordinates are not finite numbers")
         values = []
         for n in names:
             value, problem = _typed(cell[n], types.get(n, "text"))
             reason = reason.when(problem, f"{n}: not a {types.get(n, 'text')}")
-            values.append(value.alias(n))
+            values.append(value.alias(shown[n]))
         judged = rows.withColumn("reason", reason)
         ok = judged.where("reason is null").select(
             (F.col("row") + F.lit(offset)).alias(FID), *values, geometry.point(_finite(cell[x]), _finite(cell[y])).alias(GEOM)
@@ -230,7 +232,7 @@ def read_points(
             offset = good.agg(F.max(FID)).first()[0] or offset
     if max_rows is not None and good.limit(max_rows + 1).count() > max_rows:
         raise LayerError(f"more than {max_rows} rows")
-    fields = tuple(Field(n, types.get(n, "text")) for n in first)
+    fields = tuple(Field(shown[n], types.get(n, "text")) for n in first)
     return Imported(Layer(good, LayerMeta(name, crs, "POINT", fields, source=",".join(paths))), bad)
 
 
