@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks
-from .session import cut, small_batches
+from .session import cut, join_one, small_batches
 
 SIZE = 50
 CORE = 12
@@ -242,7 +242,7 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, core: int = CORE, hot_doc
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.count("*") > hot_docs).alias("is_hot")
     )
     marks = cut(
-        minimisers.join(shared.where("a <> b").select("m", "is_hot"), "m")
+        join_one(minimisers, cut(shared.where("a <> b").select("m", "is_hot")), ["m"])
         .groupBy("doc_id", "key")
         .agg(
             F.collect_list(F.when(~F.col("is_hot"), F.col("m"))).alias("cold"),
@@ -259,9 +259,9 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, core: int = CORE, hot_doc
     ranges = _sort_buckets(_packed(marked, size, core, buckets), size)
     if total["hot"]:
         windows = _hot_windows(marked.where(F.size("hot") > 0), size, core)
-        least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
+        least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
         ranges = ranges.unionByName(
-            windows.join(least, ["w1", "w2"])
+            join_one(windows, cut(least.where("least <> last").drop("last")), ["w1", "w2"])
             .where("doc_id > least")
             .select("doc_id", "key", "start", (F.col("start") + size).alias("end"))
         )
