@@ -57,7 +57,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks
-from .session import cut, join_one, small, small_batches
+from .session import cut, is_small, join_one, small, small_batches
 
 K, PERCENT = 5, 80
 #: Documents that have a frequent token.
@@ -445,15 +445,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rank = lambda c: F.struct((F.xxhash64(c) if number % 2 else F.col(c)).alias("r"), F.col(c).alias("id"))  # noqa: B023, E731
         ends = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = cut(ends.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near")["id"].alias("to")))
+        # One row a node here and in ``step``, so one measure serves all joins of the round.
+        fits = is_small(first)
         onward = first.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        step = cut(join_one(first, onward, ["to"], "left").select("a", F.coalesce("next", "to").alias("to")))
+        step = cut(join_one(first, onward, ["to"], "left", fits=fits).select("a", F.coalesce("next", "to").alias("to")))
         labels = cut(
-            join_one(labels, step.select(F.col("a").alias("label"), "to"), ["label"], "left").select(
+            join_one(labels, step.select(F.col("a").alias("label"), "to"), ["label"], "left", fits=fits).select(
                 "doc_id", F.coalesce("to", "label").alias("label")
             )
         )
-        moved = join_one(rest, step, ["a"]).select(F.col("to").alias("x"), "b")
-        moved = join_one(moved, step.select(F.col("a").alias("b"), F.col("to").alias("y")), ["b"]).where("x <> y")
+        moved = join_one(rest, step, ["a"], fits=fits).select(F.col("to").alias("x"), "b")
+        moved = join_one(moved, step.select(F.col("a").alias("b"), F.col("to").alias("y")), ["b"], fits=fits).where("x <> y")
         rest = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         number += 1
     smallest = labels.groupBy("label").agg(F.min("doc_id").alias("smallest"))

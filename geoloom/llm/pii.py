@@ -38,6 +38,7 @@ further columns are ignored.  Spans are code points, end exclusive.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -77,16 +78,23 @@ CUES = {
 }
 FILL = ("number", "nummer", "nr", "no", "num", "id", "is")
 PHONE_INNER = " ().-"
+#: Characters after a cue within which its number has a digit: separators, fill words, letters before the digits.
+CUE_REACH = 64
 
 _digit = frozenset(DIGITS)
 _label = frozenset(LETTERS + DIGITS + "-")
 _local = frozenset(LETTERS + DIGITS + "._%+-")
 _phone = frozenset(DIGITS + PHONE_INNER)
 _alnum = frozenset(LETTERS + DIGITS)
-_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_near = re.compile("[0-9]")
 _user = frozenset(LETTERS + DIGITS + "._%+-:~!$&'*,;=")
 
 
+def lower(text: str) -> str:
+    """ASCII letters lower-cased, all places kept."""
+    return text.encode().lower().decode()
+
+
 def automaton() -> ahocorasick.Automaton:
     anchors = ahocorasick.Automaton()
     for sign in "@+" + DIGITS:
@@ -199,7 +207,7 @@ def number_start(text: str, after: int) -> int:
     for _ in range(3):
         while i < len(text) and i < after + 16 and text[i] in " .:#=\t":
             i += 1
-        word = next((w for w in FILL if text[i : i + len(w)].translate(_lower) == w), "")
+        word = next((w for w in FILL if lower(text[i : i + len(w)]) == w), "")
         end = i + len(word)
         if not word or (end < len(text) and text[end] in _alnum):
             return i
@@ -259,7 +267,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int
         found[kind].append(span)
         free[kind] = span[1]
 
-    for last, (anchor, length) in anchors.iter(text.translate(_lower)):
+    for last, (anchor, length) in anchors.iter(lower(text)):
         at = last - length + 1
         if anchor == "0":
             if at >= free["ip"] and (at == 0 or text[at - 1] not in _digit or at == free["ip"]):
@@ -286,8 +294,9 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int
         elif anchor == "://":
             if span := parse_user(text, last + 1):
                 take("address", span)
-        elif at >= free[anchor] and not any(x in _alnum for x in (text[at - 1 : at] + text[last + 1 : last + 2])):
-            if span := parse_identifier(text, anchor, last + 1):
+        elif at >= free[anchor] and (at == 0 or text[at - 1] not in _alnum) and text[last + 1 : last + 2] not in _alnum:
+            # Most cues are common words, so a number must be near before anything is parsed.
+            if _near.search(text, last + 1, last + CUE_REACH) and (span := parse_identifier(text, anchor, last + 1)):
                 take(anchor, span)
     return [(kind, start, end) for kind in KINDS for start, end in found[kind]]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows, and bytes of their values, that may be sent to every executor.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 #: Rows of one key that a task of a join takes at most before the key is dealt over several.
 HOT_ROWS = 1000
 
@@ -70,13 +70,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def join_one(rows: DataFrame, one: DataFrame, on: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, rows_bound: int = BROADCAST_ROWS) -> DataFrame:
+def join_one(
+    rows: DataFrame, one: DataFrame, on: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, rows_bound: int = BROADCAST_ROWS, fits: bool | None = None
+) -> DataFrame:
     """``rows`` with what ``one`` says of their key (a row a key at most).
 
-    A small ``one`` is broadcast.  Else keys with more than ``hot_rows`` rows
+    A small ``one`` is broadcast (``fits``, where it was measured before).  Else keys with more than ``hot_rows`` rows
     are dealt over several tasks, to each of which their row of ``one`` goes.
     """
-    if is_small(one, rows_bound):
+    if is_small(one, rows_bound) if fits is None else fits:
         return rows.join(F.broadcast(one), on, how)
     hot = cut(rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")))
     if not hot.limit(1).count():

@@ -27,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, small
+from .session import cut, join_one
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands before a url's first character in a gram.
@@ -141,13 +141,15 @@ def filter_urls(
     ``score`` is the mean over characters of log p(accepted) - log p(rejected);
     null where there is no url or no model.  The threshold lies between the
     class means on the rule-judged urls, nearer to the class that varies less.
-    Four fifths of those urls count for the models, the rest (by a hash of the
+    A score equal to the threshold is accepted.  Four fifths of those urls count for the models, the rest (by a hash of the
     url) for the threshold.
     """
     judged = apply_rules(pages, rules, id_col, url_col)
     side = (F.crc32(F.concat("host", "path")) % 5 != 0) & F.col("rule_verdict").isNotNull()
     # Copies of a url are judged once and counted together: a frequent url or host is one row from here on.
-    urls = judged.groupBy("host", "path", "rule_verdict").agg(F.count("*").alias("times"))
+    # An explode makes some eighty rows of one, so the urls are dealt over all tasks and not by their bytes.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = judged.groupBy("host", "path", "rule_verdict").agg(F.count("*").alias("times")).repartition(parts, "host", "path")
     grams = urls.select(
         "host",
         "path",
@@ -167,8 +169,7 @@ def filter_urls(
     rejected = _model(counts, order, "bad", alphabet).withColumnRenamed("logp", "r")
     ratios = cut(accepted.join(rejected, "gram").select("gram", (F.col("a") - F.col("r")).alias("ratio")))
     scored = cut(
-        grams.select("host", "path", "gram")
-        .join(small(ratios), "gram")
+        join_one(grams.select("host", "path", "gram"), ratios, ["gram"])
         .groupBy("host", "path")
         .agg(F.round(F.avg("ratio"), 9).alias("score"))
     )
@@ -177,7 +178,7 @@ def filter_urls(
         F.col("rule_verdict"),
         F.when(F.col("score").isNull() | (F.col("score") < threshold), "block").otherwise("allow"),
     )
-    return judged.join(scored, ["host", "path"], "left").select(
+    return join_one(judged, scored, ["host", "path"], "left").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "score"
     )
 
