@@ -19,6 +19,9 @@ are maps over the documents, without a shuffle of texts and without any cap:
 an item that a third of all documents copy is simply aligned in each of them,
 where the document is.
 
+Ties: a score of exactly ``least`` is reported; an item that a document holds
+several times is one pair, with the best score; equal items are pairs each.
+
 Defined results: null and empty texts match nothing; items with fewer than
 ``n`` words have no n-gram and match nothing; null item ids and null documents'
 ids stay null in the result; repeated rows give repeated results; an empty

@@ -127,16 +127,24 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, s1 long, s2 long")
 
 
+#: Numbers below which packing is not worth it.
+_PLAIN = 16
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """A sorted array of 64-bit numbers as differences, by planes of bytes, compressed."""
+    """A sorted array of 64-bit numbers as differences, by planes of bytes, compressed; a few numbers as they are."""
+    if len(keys) < _PLAIN:
+        return b"p" + keys.astype("<u8").tobytes()
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    return len(keys).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return b"z" + len(keys).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], n * 8, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    if blob[:1] == b"p":
+        return np.frombuffer(blob[1:], "<u8").astype(np.uint64)
+    n = int.from_bytes(blob[1:9], "little")
+    planes = np.frombuffer(pa.decompress(blob[9:], n * 8, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -172,18 +180,15 @@ def _blobs(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             several = count > 1
             multis = (key[at[several]] & ~_LOW) | np.minimum(count[several], 65535).astype(np.uint64)
             rows = {name: [] for name in ("bucket", "chunk", "kind", "one", "two", "three")}
-            edges = (np.arange(1, buckets, dtype=object) * (1 << 64)) // buckets
-            edges = np.array([int(e) for e in edges], np.uint64)
-            cut_one = np.concatenate([[0], np.searchsorted(singles, edges), [len(singles)]])
-            cut_two = np.concatenate([[0], np.searchsorted(multis, edges), [len(multis)]])
-            for b in range(buckets):
-                one, two = singles[cut_one[b] : cut_one[b + 1]], multis[cut_two[b] : cut_two[b + 1]]
-                if len(one) or len(two):
-                    rows["bucket"].append(b)
-                    rows["kind"].append(_SINGLE)
-                    rows["one"].append(pack(one))
-                    rows["two"].append(pack(two))
-                    rows["three"].append(b"")
+            # Only buckets that have a key are visited, so a chunk makes no more blobs than it has tokens.
+            of_one, of_two = (((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) for x in (singles, multis))
+            for b in np.union1d(of_one, of_two).tolist():
+                one, two = (x[np.searchsorted(of, b) : np.searchsorted(of, b, "right")] for x, of in ((singles, of_one), (multis, of_two)))
+                rows["bucket"].append(b)
+                rows["kind"].append(_SINGLE)
+                rows["one"].append(pack(one))
+                rows["two"].append(pack(two))
+                rows["three"].append(b"")
             rows["bucket"].append(chunk % buckets)
             rows["kind"].append(_CHUNK)
             rows["one"].append(pack(members))
