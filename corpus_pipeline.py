@@ -9,7 +9,11 @@ Defined results: rows with a null id or text pass the first three filters only
 where there is something to judge (a null text has no letter and goes in the
 first stage; a null id has no near duplicates and stays in the second); texts
 stay as they are except for personal data; rows of one id are one document; an
-empty table gives an empty result; further columns are kept throughout.
+empty table gives an empty result; further columns are kept throughout,
+whatever their names, but for those of the mixture's own (``epoch``, ``place``,
+``n_tokens``), which the last stage replaces.  Ties: of linked documents with
+one id all rows stay or go together, a score of exactly a limit counts as
+reaching it, and rows with equal places are taken or left together.
 """
 
 from __future__ import annotations
