@@ -363,6 +363,24 @@ def test_drawings(spark, tmp_path, graded):
         cad.write_dxf([graded, graded], path)
 
 
+def test_drawings_open_fill_and_align(spark, tmp_path, graded):
+    rings = make(spark, [(1, "POLYGON ((0 0, 8 0, 8 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 1))")], [], kind="POLYGON", name="areas")
+    path = tmp_path / "f.dxf"
+    cad.write_dxf([display.label_field(graded, "grade"), rings], str(path), fill=True, direction="SW", offset=2)
+    rows = path.read_text().split("\n")
+    groups = list(zip(rows[::2], rows[1::2]))
+    at = groups.index(("9", "$EXTMAX"))
+    assert groups[at + 1 : at + 3] == [("10", "8"), ("20", "4")] and ("2", "*ACTIVE") in groups and groups[groups.index(("2", "*ACTIVE")) + 6][0] == "12"
+    hatch = groups[groups.index(("0", "HATCH")) :]
+    assert ("91", "2") in hatch and [v for c, v in hatch if c == "93"] == ["4", "3"]
+    texts = [i for i, g in enumerate(groups) if g == ("0", "TEXT")]
+    assert len(texts) == 3 and groups[texts[0] + 4 : texts[0] + 6] == [("72", "2"), ("73", "3")]
+    assert [float(groups[texts[1] + k][1]) for k in (2, 3)] == [-1.0, -2.0]
+    assert cad.read_dxf(spark, str(path)).df.where("layer = 'areas'").count() == 2
+    with pytest.raises(LayerError):
+        cad.write_dxf([graded], str(path), direction="UP")
+
+
 def test_database_texts(graded):
     assert database.quoted("a.b") == '"a"."b"' and database.srid("epsg:5186") == 5186
     for bad in ("a.b.c", "a;b", "1a", "x" * 64):
