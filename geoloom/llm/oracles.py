@@ -34,8 +34,8 @@ ent(i, lo, hi) AS (
   SELECT i + 1, CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END FROM (
     SELECT i, lo, hi, (lo + hi) / 2 AS mid,
       (SELECT log2(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * log2(p)) / sum(pow(p, (lo + hi) / 2)) FROM p)
-        >= 0.98 * log2((SELECT count(*) FROM p)) - 1e-12 AS good FROM ent WHERE i < 60)),
-full_ok AS (SELECT (SELECT log2(sum(p)) - sum(p * log2(p)) / sum(p) FROM p) >= 0.98 * log2((SELECT count(*) FROM p)) - 1e-12 AS ok),
+        >= 0.999 * log2((SELECT count(*) FROM p)) - 1e-12 AS good FROM ent WHERE i < 60)),
+full_ok AS (SELECT (SELECT log2(sum(p)) - sum(p * log2(p)) / sum(p) FROM p) >= 0.999 * log2((SELECT count(*) FROM p)) - 1e-12 AS ok),
 a1 AS (SELECT CASE WHEN (SELECT ok FROM full_ok) OR (SELECT count(*) FROM p) < 2 THEN 1.0 ELSE max(lo) END AS alpha FROM ent WHERE i = 60),
 rep(i, lo, hi) AS (
   SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
