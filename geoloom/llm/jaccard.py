@@ -73,7 +73,7 @@ BITS = 4
 #: Bytes of text to a bucket of token counts.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text, and documents, packed together.
-CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 60_000
+CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 60_000
 _LOW = np.uint64(0xFFFF)
 
 

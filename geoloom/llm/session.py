@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows, and bytes of their values, that may be sent to every executor.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 16 << 20
 #: Rows of one key that a task of a join takes at most before the key is dealt over several.
 HOT_ROWS = 1000
 
