@@ -162,40 +162,38 @@ def _encoded(polygons: list) -> bytes | None:
 def clip_to(geom: pa.Array, window: pa.Array) -> pa.Array:
     """The polygonal part of a geometry inside a polygonal window; null where nothing with an area is left.
 
-    Where the bounds lie inside a window that is a box the geometry stays as
-    it is; convex windows of one ring are clipped side by side, others by
-    overlay.
+    Geometries whose bounds no edge of the window touches stay as they are or
+    go, found for all rows at once; convex windows of one ring are clipped
+    side by side, others by overlay.
     """
     if isinstance(window, pa.ChunkedArray):
         window = window.combine_chunks()
-    known: dict[bytes, tuple] = {}
     names = window.dictionary_encode() if not isinstance(window, pa.DictionaryArray) else window
-    which, windows = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
-    for w in windows:
-        found = codec.polygons(codec.decode(w))
-        convex = len(found) == 1 and len(found[0]) == 1 and planar.is_convex(found[0][0])
-        corners = found[0][0] if convex else None
-        level = convex and len(corners) == 5 and ((np.diff(corners, axis=0) == 0).sum(1) == 1).all()
-        known[w] = (found, corners, (*corners.min(0), *corners.max(0)) if level else None)
+    which = np.asarray(names.indices.fill_null(-1))
     d = batch.decode_all(geom)
-    whole = batch.metrics(d).field(2).to_numpy(zero_copy_only=False) > 1e-12
     edges = batch.bounds(d)
     edges = np.stack([edges.field(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
-    out = []
-    for i, data in enumerate(geom.to_pylist()):
-        if data is None or np.isnan(which[i]) or d.kind[i] < 3:
-            out.append(None)
-            continue
-        found, corners, level = known[windows[int(which[i])]]
-        e = edges[i]
-        if level and d.kind[i] == 3 and whole[i] and level[0] <= e[0] and level[1] <= e[1] and e[2] <= level[2] and e[3] <= level[3]:
-            out.append(data)
-            continue
-        if corners is None and not overlay.borders(found, e):
-            out.append(data if d.kind[i] == 3 and whole[i] and overlay.covers(found, e[:2]) else None)
-            continue
-        shapes = codec.polygons(codec.decode(data))
-        out.append(_encoded(planar.clip_polygons(shapes, corners) if corners is not None else overlay.intersection(shapes, found)))
+    whole = (d.kind == 3) & (batch.metrics(d).field(2).to_numpy(zero_copy_only=False) > 1e-12)
+    raw, out = geom.to_pylist(), [None] * len(geom)
+    for w, data in enumerate(names.dictionary.to_pylist()):
+        found = codec.polygons(codec.decode(data))
+        convex = len(found) == 1 and len(found[0]) == 1 and planar.is_convex(found[0][0])
+        corners = found[0][0] if convex else None
+        rows = np.flatnonzero((which == w) & (d.kind >= 3) & ~np.isnan(edges[:, 0]))
+        boxes = edges[rows]
+        if convex and len(corners) == 5 and ((np.diff(corners, axis=0) == 0).sum(1) == 1).all():
+            low, high = corners.min(0), corners.max(0)
+            kept = (boxes[:, :2] >= low).all(1) & (boxes[:, 2:] <= high).all(1)
+            gone = np.zeros(len(rows), bool)
+        else:
+            touched, inside = overlay.place_boxes(found, boxes)
+            kept, gone = ~touched & inside, ~touched & ~inside
+        kept &= whole[rows]
+        for i in rows[kept].tolist():
+            out[i] = raw[i]
+        for i in rows[~kept & ~gone].tolist():
+            shapes = codec.polygons(codec.decode(raw[i]))
+            out[i] = _encoded(planar.clip_polygons(shapes, corners) if corners is not None else overlay.intersection(shapes, found))
     return pa.array(out, pa.binary())
 
 
