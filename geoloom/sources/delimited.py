@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import csv
 import io
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..functions.text import is_blank, trim_space
 from ..model import FID, GEOM, Field, Layer, LayerError, LayerMeta
+from .place import replaced
 
 ENCODINGS = {"utf-8": "utf-8", "utf8": "utf-8", "cp949": "cp949", "euc-kr": "cp949"}
 DIAGNOSTICS = 100
@@ -265,10 +265,8 @@ def write_report(df: DataFrame, path: str, order: list[str] = ()) -> None:
     Rows come to the driver one partition at a time, in ranges of the order.
     """
     rows = df.orderBy(*order) if order else df
-    made = f"{path}.new"
-    with open(made, "w", encoding="utf-8", newline="") as out:
+    with replaced(df.sparkSession, path) as (made,), open(made, "w", encoding="utf-8", newline="") as out:
         writer = csv.writer(out)
         writer.writerow(df.columns)
         for row in rows.toLocalIterator():
             writer.writerow(["" if v is None else v for v in row])
-    os.replace(made, path)
