@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from ..functions import codec
 from ..functions.geometry import bbox_of
 from ..model import FID, GEOM, Layer, LayerError, LayerMeta
 from ..plans.presentation import DIRECTIONS
+from .place import replaced
 
 #: Text encoding and the file version and code page that go with it.
 ENCODINGS = {"utf-8": ("AC1021", "ANSI_1252"), "cp949": ("AC1015", "ANSI_949"), "shift_jis": ("AC1015", "ANSI_932")}
@@ -116,7 +119,7 @@ def write_dxf(layers: list[Layer], path: str, encoding: str = "utf-8", fill: boo
     bounds = boxes.agg(F.min("b.minx").alias("minx"), F.min("b.miny").alias("miny"), F.max("b.maxx").alias("maxx"), F.max("b.maxy").alias("maxy"))
     variables, port = opening_view(bounds.first())
     try:
-        with open(f"{path}.new", "w", encoding=encoding, newline="\r\n") as out:
+        with replaced(layers[0].df.sparkSession, path) as (made,), open(made, "w", encoding=encoding, newline="\r\n") as out:
             head = ["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", version, "9", "$DWGCODEPAGE", "3", page, *variables, "0", "ENDSEC"]
             head += ["0", "SECTION", "2", "TABLES", *port, "0", "TABLE", "2", "LAYER", "70", str(len(names) + 1)]
             for name in [*names, "LABEL"]:
@@ -128,9 +131,7 @@ def write_dxf(layers: list[Layer], path: str, encoding: str = "utf-8", fill: boo
                         out.write("\n".join(row["lines"]) + "\n")
             out.write("0\nENDSEC\n0\nEOF\n")
     except UnicodeEncodeError as e:
-        os.remove(f"{path}.new")
         raise LayerError(f"text does not fit {encoding}") from e
-    os.replace(f"{path}.new", path)
 
 
 def read_dxf(spark: SparkSession, path: str, encoding: str = "utf-8", crs: str = "") -> Layer:
@@ -139,16 +140,20 @@ def read_dxf(spark: SparkSession, path: str, encoding: str = "utf-8", crs: str =
     def parse(frames):
         for frame in frames:
             for content in frame["content"]:
-                rows = bytes(content).decode(encoding).splitlines()
-                groups = [(int(c), v.strip()) for c, v in zip(rows[::2], rows[1::2], strict=False)]
-                found, entity = [], None
+                rows = io.TextIOWrapper(io.BytesIO(content), encoding)
+                groups = ((int(c), v.strip()) for c, v in zip(rows, rows, strict=False))
+                found, entity, number = [], None, 0
                 inside = False
-                for code, value in [*groups, (0, "EOF")]:
+                for code, value in chain(groups, [(0, "EOF")]):
                     if code == 2 and value == "ENTITIES":
                         inside = True
                     if code == 0:
                         if inside and entity and (made := _geometry(entity)):
-                            found.append((len(found) + 1, entity.get(8, ["0"])[0], entity.get(1, [None])[0], codec.encode(made)))
+                            number += 1
+                            found.append((number, entity.get(8, ["0"])[0], entity.get(1, [None])[0], codec.encode(made)))
+                            if len(found) == 10_000:
+                                yield pd.DataFrame(found, columns=[FID, "layer", "text", GEOM])
+                                found = []
                         entity = {0: value}
                     elif entity is not None:
                         entity.setdefault(code, []).append(value)
