@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom import round_trips
 from geoloom.functions import codec, geometry
 from geoloom.model import Field, LayerError, empty_layer, layer, page
 from geoloom.operators import combine, display, select, shapes, summarise
@@ -452,3 +453,21 @@ def test_geojson_schema_covers_all_features(spark, tmp_path):
         rows = {r.fid: r for r in lay.df.collect()}
         assert len(rows) == 1202 and [rows[i + 1].n for i in range(1200)] == [str(i) for i in range(1200)]
         assert rows[1201].n == "text" and rows[1201].late.x == 1 and rows[1202].n is None
+
+
+def test_files_are_written_where_executors_find_them(spark, tmp_path, graded):
+    """In the shared folder even on one machine, since executors may have temporary folders of their own; and in stores that only Hadoop opens."""
+    assert round_trips.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./d", f"file://{tmp_path}")
+    points = layer(graded.df.select("fid", "geom"), "points", "EPSG:5186", "POINT")
+    for folder in (f"file://{tmp_path}", "viewfs://store/d"):
+        for _ in range(2):
+            delimited.write_report(graded.df.select("fid", "grade"), f"{folder}/t.csv", ["fid"])
+            files.write_geopackage(points, f"{folder}/p.gpkg")
+            files.write_shapefile(points, f"{folder}/p.shp")
+            cad.write_dxf([points], f"{folder}/p.dxf")
+        assert delimited.read_table(spark, f"{folder}/t.csv")[0].count() == 3
+        assert files.read_geopackage(spark, f"{folder}/p.gpkg").df.count() == 3
+        assert files.read_shapefile(spark, f"{folder}/p.shp").df.count() == 3
+        assert cad.read_dxf(spark, f"{folder}/p.dxf").df.count() == 3
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith(".new")]
