@@ -70,6 +70,9 @@ CELLS, AGREE = 6, 4
 FIRST_RANGE, RANGE_RATIO = 4, 1.6
 #: Words of 64 parity bits.
 BITS = 4
+#: Rows of documents that are broadcast: the driver builds the hash table, at about a kilobyte a row, and such
+#: tables grow with the corpus.
+DOCUMENTS = 50_000
 #: Bytes of text to a bucket of token counts.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text, and documents, packed together.
@@ -427,7 +430,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return (
-        join_one(pairs.join(right, "b"), left, ["a"])
+        join_one(pairs.join(right, "b"), left, ["a"], rows_bound=DOCUMENTS)
         .select("a", "b", "na", "ta", "nb", "tb")
         .mapInArrow(compare, "a long, b long")
     )
@@ -451,7 +454,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ends = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = cut(ends.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near")["id"].alias("to")))
         # One row a node here and in ``step``, so one measure serves all joins of the round.
-        fits = is_small(first)
+        fits = is_small(first, DOCUMENTS)
         onward = first.select(F.col("a").alias("to"), F.col("to").alias("next"))
         step = cut(join_one(first, onward, ["to"], "left", fits=fits).select("a", F.coalesce("next", "to").alias("to")))
         labels = cut(
@@ -464,7 +467,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rest = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         number += 1
     smallest = labels.groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    return cut(join_one(labels, smallest, ["label"]).select("doc_id", F.col("smallest").alias("label"))) if number else labels
+    return cut(join_one(labels, smallest, ["label"], rows_bound=DOCUMENTS).select("doc_id", F.col("smallest").alias("label"))) if number else labels
 
 
 def _open_keys(near: DataFrame) -> DataFrame:
@@ -508,7 +511,7 @@ def _linked(candidates: DataFrame, percent: int, light: int) -> DataFrame:
     edges = cut(_verified(stars, sets, percent))
     labels = components(candidates.select("doc_id").distinct(), edges)
 
-    near = join_one(candidates.select("doc_id", "n", "s", "bits", "keys"), labels, ["doc_id"])
+    near = join_one(candidates.select("doc_id", "n", "s", "bits", "keys"), labels, ["doc_id"], rows_bound=DOCUMENTS)
     left = cut(_open_keys(near))
     heavy = cut(
         join_one(near.select("doc_id", F.explode("keys").alias("key")), left.where(F.col("members") > light).select("key"), ["key"])
@@ -517,7 +520,7 @@ def _linked(candidates: DataFrame, percent: int, light: int) -> DataFrame:
     )
     pairs = _pairs(near, left.where(F.col("members") <= light), percent)
     if heavy.limit(1).count():
-        longer = cut(join_one(_with_long_keys(candidates.join(small(heavy), "doc_id"), percent), labels, ["doc_id"]))
+        longer = cut(join_one(_with_long_keys(candidates.join(small(heavy, DOCUMENTS), "doc_id"), percent), labels, ["doc_id"], rows_bound=DOCUMENTS))
         pairs = pairs.union(_pairs(longer, _open_keys(longer), percent))
     pairs = pairs.distinct()
     more = cut(_verified(cut(pairs), sets, percent))
@@ -534,12 +537,12 @@ def similar_groups(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent
     full = summaries.where("n > 0 and doc_id is not null")
     equal = ["s1", "s2", "n"]
     heads = full.groupBy(*equal).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last").drop("last")
-    copies = cut(join_one(full, cut(heads), equal).where("doc_id <> head").distinct())
+    copies = cut(join_one(full, cut(heads), equal, rows_bound=DOCUMENTS).where("doc_id <> head").distinct())
     # Copies leave the search, but for ids that have another text too.
     ids = copies.select("doc_id").distinct()
-    others = full.join(small(ids), "doc_id", "left_semi").join(copies, ["doc_id", *equal], "left_anti").select("doc_id").distinct()
+    others = full.join(small(ids, DOCUMENTS), "doc_id", "left_semi").join(copies, ["doc_id", *equal], "left_anti").select("doc_id").distinct()
     gone = cut(ids.join(others, "doc_id", "left_anti"))
-    texts = rows.where("doc_id is not null and text is not null").join(small(gone), "doc_id", "left_anti")
+    texts = rows.where("doc_id is not null and text is not null").join(small(gone, DOCUMENTS), "doc_id", "left_anti")
     length = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), length // BUCKET_BYTES + 1)
     candidates = cut(_candidates(_shared_tokens(_blobs(texts, k, buckets), frequent), percent))

@@ -286,3 +286,18 @@ def test_hashes_depend_on_bytes_only():
         for s, e, h in zip(words.starts, words.ends, textblocks.span_hashes(b.data, words.starts, words.ends)):
             assert seen.setdefault(raw[s:e], h) == h
     assert set(seen) == {b"a", b"bc"} and hashlib.sha256(b"").hexdigest()
+
+
+def test_no_table_of_documents_is_broadcast_beyond_its_own_bound(spark, monkeypatch):
+    """Joins by document are right without any broadcast, and ask for the lower bound."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [words, words, [*words[:58], "x", "y"], [f"v{i}" for i in range(60)], [*words[:59], "z"]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    want = sorted(map(tuple, jaccard.similar_groups(docs).collect()))
+    asked = []
+    plain = session.is_small
+    monkeypatch.setattr(jaccard, "DOCUMENTS", 0)
+    monkeypatch.setattr(session, "is_small", lambda df, rows=session.BROADCAST_ROWS: asked.append(("doc_id" in df.columns or "a" in df.columns, rows)) or plain(df, rows))
+    assert sorted(map(tuple, jaccard.similar_groups(docs).collect())) == want
+    assert [r[2] for r in want] == [0, 0, 0, 3, 0]
+    assert asked and {rows for of_documents, rows in asked if of_documents} == {0}
