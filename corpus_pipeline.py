@@ -35,7 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of documents that are linked by five-word shingles at 0.8, the one with the smallest id."""
     groups = jaccard.similar_groups(docs)
     gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(gone, jaccard.DOCUMENTS), "doc_id", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
