@@ -175,6 +175,24 @@ def points(x: np.ndarray, y: np.ndarray, missing: np.ndarray) -> pa.Array:
     return binary(made, missing)
 
 
+def lines(column: pa.Array) -> pa.Array:
+    """LINESTRING of each list of struct<x, y>; null for null, NaN for a missing number."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    missing = np.asarray(column.is_null()) if len(column) else np.zeros(0, bool)
+    count = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    xy = np.stack([x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in column.flatten().flatten()], 1).astype("<f8")
+    at = np.concatenate([[0], np.cumsum(np.where(missing, 0, 9 + 16 * count))])
+    data, start = np.zeros(at[-1], np.uint8), at[:-1][~missing]
+    head = np.zeros(len(start), np.dtype([("order", "u1"), ("code", "<u4"), ("count", "<u4")]))
+    head["order"], head["code"], head["count"] = 1, 2, count[~missing]
+    data[start[:, None] + np.arange(9)] = head.view(np.uint8).reshape(-1, 9)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    data[(np.repeat(at[:-1] + 9, count) + 16 * within)[:, None] + np.arange(16)] = xy.view(np.uint8).reshape(-1, 16)
+    known = pa.py_buffer(np.packbits(~missing, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(count), [known, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
 def binary(made: np.ndarray, missing: np.ndarray) -> pa.Array:
     """A binary column of records of one size."""
     offsets = np.arange(len(made) + 1, dtype=np.int32) * made.dtype.itemsize

@@ -89,10 +89,10 @@ def point(x: pa.Array, y: pa.Array) -> pa.Array:
     return batch.points(x, y, np.isnan(x) | np.isnan(y))
 
 
-@F.pandas_udf(BINARY)
-def line(points: pd.Series) -> pd.Series:
+@F.arrow_udf(BINARY)
+def line(points: pa.Array) -> pa.Array:
     """LINESTRING of an array of (x, y)."""
-    return points.map(lambda p: None if p is None else codec.encode(("LINESTRING", [(v["x"], v["y"]) for v in p])))
+    return batch.lines(points)
 
 
 @F.arrow_udf(BINARY)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import batch, geometry, tiling
 from ..functions.text import is_blank, kind_of, trim_space, value_text
 from ..model import FID, GEOM, Layer, LayerError
 from ..plans.rules import compile_rule, compile_text
@@ -100,6 +103,50 @@ def tile_segments(segments: DataFrame, size: float) -> DataFrame:
     return tiles.select(FID, "tx", "ty", at("x0", "dx", "s").alias("x0"), at("y0", "dy", "s").alias("y0"), at("x0", "dx", "e").alias("x1"), at("y0", "dy", "e").alias("y1"))
 
 
+def tile_totals(df: DataFrame, size: float) -> DataFrame:
+    """(tx, ty, n, length): how many segments of a layer's geometries cross each tile and their length in it.
+
+    The totals of ``tile_segments``, for tiles with at least one part.  Rows
+    made are the runs of tiles in a row or column, not the tiles crossed, and
+    tasks hand on their sums.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = tiling.Sums()
+
+        def handed_on(axis: int, across: np.ndarray, along: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            whole = [v if "length" in name else v.astype(np.int64) for name, v in zip(tiling.VALUES, values, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(across), axis, np.int32), across, along, *whole)], ["axis", "across", "along", *tiling.VALUES])
+
+        for rows in batches:
+            for event in tiling.events(*tiling.segments(batch.decode_all(rows.column(0))), size):
+                for full in kept.add(*event):
+                    yield handed_on(*full)
+        for full in kept.rest():
+            yield handed_on(*full)
+
+    c = F.col
+    shape = ", ".join(f"{name} {'double' if 'length' in name else 'long'}" for name in tiling.VALUES)
+    # Each task hands on a row for each tile that it met, so more tasks than work side by side make more rows.
+    tasks = max(16, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    by_tile = df.select(GEOM).coalesce(tasks).mapInArrow(sums, f"axis int, across long, along long, {shape}").groupBy("axis", "across", "along").agg(*[F.sum(v).alias(v) for v in tiling.VALUES])
+    row = Window.partitionBy("axis", "across").orderBy("along")
+    so_far = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = by_tile.select(
+        "*", F.lead("along").over(row).alias("next"),
+        F.sum(c("opened") - c("closed")).over(so_far).alias("m"), F.sum(c("opened_length") - c("closed_length")).over(so_far).alias("behind"),
+    )
+    # Where no run is open nothing is, whatever rounding has left.
+    before = F.when(c("m") > c("opened"), c("behind") - c("opened_length")).otherwise(0.0)
+    own = running.select("axis", "across", "along", (c("n") + c("m") - c("opened")).alias("n"), (c("length") + before).alias("length"))
+    between = running.where("m > 0 and next > along + 1").select(
+        "axis", "across", F.explode(F.sequence(c("along") + 1, c("next") - 1)).alias("along"), c("m").alias("n"), c("behind").alias("length")
+    )
+    tx, ty = (F.when(c("axis") == axis, c("along")).otherwise(c("across")) for axis in (0, 1))
+    tiles = own.union(between).where("n > 0").select(tx.alias("tx"), ty.alias("ty"), "n", "length")
+    return tiles.groupBy("tx", "ty").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+
+
 def shared_edges_once(segments: DataFrame) -> DataFrame:
     """Segments that several features share, once, in either direction."""
     c = F.col

@@ -2,11 +2,13 @@
 
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from geoloom import round_trips
-from geoloom.functions import codec, geometry
+from geoloom.functions import batch, codec, geometry, tiling
 from geoloom.model import Field, LayerError, empty_layer, layer, page
 from geoloom.operators import combine, display, select, shapes, summarise
 from geoloom.project import Project
@@ -246,6 +248,54 @@ def test_display(spark, graded):
     assert {(r.tx, r.ty) for r in cut if r.fid == 5} == {(2, 0)} and len([r for r in cut if r.fid == 2]) <= 8
 
 
+def test_tile_totals(spark):
+    """The totals of ``tile_segments`` for lines in all directions, through corners, along borders and far beyond a tile."""
+    rng = np.random.default_rng(5)
+    lines = [rng.integers(-60, 60, (rng.integers(2, 6), 2)) * step for step in (1.0, 4.0, 0.37) for _ in range(150)]
+    lines += [np.array(x, float) for x in ([[4, 4], [4, 400]], [[-400, 8], [8, 8]], [[0, 0], [400, 400]], [[400, -400], [0, 0]], [[2, 2], [2, 2]], [[3, 3]], [[0, 1], [4000, 2]], [[1, 4000], [2, 0]])]
+    data = [(i, codec.encode(("LINESTRING", x))) for i, x in enumerate(lines)]
+    data += [(1000, codec.encode(("MULTILINESTRING", [("LINESTRING", lines[0]), ("LINESTRING", lines[1])]))), (1001, None), (1002, b"no geometry"), (1003, codec.encode(("LINESTRING", [])))]
+    data += [(1004, codec.encode(("LINESTRING", [[0, 0], [np.nan, 3]])))]
+    df = spark.createDataFrame(data, "fid long, geom binary")
+    parts = display.tile_segments(display.segments_of(df.where("fid < 1004")), 4.0)
+    want = parts.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.sum(F.expr("sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2))")).alias("length"))
+    want = {(r.tx, r.ty): (r.n, r.length) for r in want.collect()}
+    got = {(r.tx, r.ty): (r.n, r.length) for r in display.tile_totals(df, 4.0).collect()}
+    assert got.keys() == want.keys() and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-8) for k in want)
+    assert display.tile_totals(df.where("fid >= 1001"), 4.0).count() == 0
+    # In boxes of a few tiles, or of none.
+    ends = tiling.segments(batch.decode_all(pa.array([g for i, g in data[: len(lines)]], pa.binary())))
+    for tiles in (tiling.TILES, 300, 1):
+        sums, handed_on = tiling.Sums(tiles), []
+        for event in tiling.events(*ends, 4.0):
+            handed_on += sums.add(*event)
+        handed_on += sums.rest()
+        assert (len(handed_on) > 4) == (tiles < tiling.TILES)
+        total = {}
+        for axis, across, along, values in handed_on:
+            for at, row in zip(zip([axis] * len(across), across.tolist(), along.tolist(), strict=True), values.T, strict=True):
+                total[at] = total.get(at, 0) + row
+        total = {k: v for k, v in total.items() if v[[0, 2, 4]].any()}
+        first = total if tiles == tiling.TILES else first
+        assert total.keys() == first.keys() and all(np.allclose(total[k], first[k]) for k in first)
+
+
+def test_tile_totals_of_long_lines(spark):
+    """300 million tiles crossed, in 100,000 tiles: only the runs are made."""
+    df = spark.range(3000).select(F.col("id").alias("fid"), F.lit(codec.encode(("LINESTRING", [[0, 1], [400_000, 1]]))).alias("geom"))
+    got = display.tile_totals(df, 4.0).agg(F.count("*"), F.min("n"), F.max("n"), F.min("length"), F.max("length")).first()
+    assert tuple(got) == (100_000, 3000, 3000, 12_000.0, 12_000.0)
+
+
+def test_lines_of_points(spark):
+    rows = [(1, [(1.0, 2.0), (3.5, -4.0)]), (2, None), (3, []), (4, [(0.0, None)]), (5, [(7.0, 8.0)] * 3)]
+    df = spark.createDataFrame(rows, "fid long, p array<struct<x double, y double>>").coalesce(1)
+    got = {r.fid: r.g for r in df.select("fid", geometry.line("p").alias("g")).collect()}
+    nan = [(0.0, float("nan"))]
+    assert got == {i: None if p is None else codec.encode(("LINESTRING", nan if i == 4 else p)) for i, p in rows}
+
+
 def test_pages_and_empty_layers(spark, graded):
     rows, total = page(graded, 1, 5)
     assert ([r.fid for r in rows.collect()], total) == ([2, 3], 3)
