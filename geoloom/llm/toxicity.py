@@ -106,8 +106,11 @@ def distinct_pairs(block: textblocks.Block) -> tuple[np.ndarray, np.ndarray, np.
     return doc[first], before[first], words[first]
 
 
-def count_pairs(labelled: DataFrame) -> DataFrame:
-    """(word, before, toxic, ordinary), the words as keys: in how many documents each pair of words occurs, from rows (text, toxic)."""
+def count_pairs(labelled: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(word, before, toxic, ordinary), the words as keys: in how many documents each pair of words occurs, from rows (text, toxic).
+
+    With ``words``, rows (word), of pairs that end in one of them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,12 +133,10 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
                     ["word", "before", "toxic", "ordinary"],
                 )
 
-    return (
-        labelled.select("text", "toxic")
-        .mapInArrow(count, "word long, before long, toxic int, ordinary int")
-        .groupBy("word", "before")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    )
+    found = labelled.select("text", "toxic").mapInArrow(count, "word long, before long, toxic int, ordinary int")
+    if words is not None:
+        found = found.join(small(words), "word", "left_semi")
+    return found.groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 _CLASSES = ("toxic", "ordinary")
@@ -155,13 +156,17 @@ def _statistics(pairs: DataFrame, share: float) -> DataFrame:
             F.count_if(F.col(c) > 0).alias(f"types_{c}"),
             F.sum(1 - F.pow(F.lit(1 - q), both)).alias(f"expected_{c}"),
             F.sum(both * F.pow(F.lit(1 - q), both - 1)).alias(f"slope_{c}"),
+            F.count_if(F.col(c) == 1).alias(f"ones_{c}"),
+            F.count_if(F.col(c) == 2).alias(f"twos_{c}"),
         ]
+    if "role" in pairs.columns:
+        return pairs.groupBy("word", "role").agg(*sums, F.count("*").alias("types"))
     return pairs.groupBy("word").agg(*sums, F.count("*").alias("types"))
 
 
 @dataclass
 class Model:
-    #: (key, beyond): how far log p(toxic) - log p(ordinary) of a stem is from ``rest``, and of a word from its stem.
+    #: (key, beyond): how far log p(toxic) - log p(ordinary) of a stem is from ``rest``, of a word from its stem, of a pair from its word.
     table: DataFrame | None = None
     #: The parts of the table, each with about ``MODEL_WORDS`` rows at most.
     parts: int = 1
@@ -200,11 +205,11 @@ class Model:
             for batch in batches:
                 n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
                 for block in textblocks.blocks(batch.column(at)):
-                    doc, _, words = distinct_pairs(block)
+                    doc, before, words = distinct_pairs(block)
                     size = block.last - block.first
                     n[block.first : block.last] = np.bincount(doc, minlength=size)
                     if len(known):
-                        for keys in (words, words & _STEM_BITS):
+                        for keys in (words, words & _STEM_BITS, _pair_keys(before, words)):
                             place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                             total[block.first : block.last] += np.bincount(doc, np.where(known[place] == keys, beyond[place], 0), size)
                 yield pa.RecordBatch.from_arrays(
@@ -216,6 +221,7 @@ class Model:
 
 
 def _model(stats: DataFrame, share: float, sigmas: float, model_words: int) -> Model | None:
+    """Continuation counts alone, the discount being what chance explains; ``fit`` takes ``bigram_model``."""
     names = [f"{name}_{c}" for name in ("count", "types") for c in _CLASSES] + ["types"]
     sums = stats.agg(*[F.sum(c).alias(c) for c in names]).first()
     if not sums["types_toxic"] or not sums["types_ordinary"]:
@@ -256,6 +262,72 @@ def _model(stats: DataFrame, share: float, sigmas: float, model_words: int) -> M
     return Model(cut(table), (left["n"] + left_stems["n"]) // model_words + 1, rest_of_stems + above)
 
 
+def discount(ones: int, twos: int) -> float:
+    """Kneser-Ney's n1 / (n1 + 2 n2); a half where nothing was counted once, as a discount of none leaves nothing to back off with."""
+    return ones / (ones + 2 * twos) if ones else 0.5
+
+
+def bigram_model(labelled: DataFrame, share: float, sigmas: float = SIGMAS, model_words: int = MODEL_WORDS) -> Model | None:
+    """From rows (text, toxic); ``share`` is about the toxic class's share of all counts.  None while a class has no word."""
+    c = F.col
+    ends = F.explode(F.array(F.struct(c("word"), F.lit(0).alias("role")), F.struct(c("before").alias("word"), F.lit(1).alias("role"))))
+    stats = cut(_statistics(count_pairs(labelled).select(ends.alias("end"), "toxic", "ordinary").select("end.*", "toxic", "ordinary"), share))
+    words, histories = (stats.where(c("role") == role).drop("role") for role in (0, 1))
+    summed = [x for x in words.columns if x != "word"]
+    sums = words.agg(*[F.sum(x).alias(x) for x in summed]).first()
+    if not sums["types_toxic"] or not sums["types_ordinary"]:
+        return None
+    exact = sums["count_toxic"] / (sums["count_toxic"] + sums["count_ordinary"])
+    stem = F.shiftleft(F.shiftrightunsigned("word", 32), 32)
+    by_stem = cut(words.groupBy(stem.alias("word")).agg(*[F.sum(x).alias(x) for x in summed]))
+
+    def level(rows: DataFrame):
+        """(what a class has beyond its discount, what its discounts leave), each by class; whether a class has more than chance explains."""
+        found = rows.agg(*[F.count_if(test(c(f"types_{k}"))).alias(f"{name}_{k}") for k in _CLASSES for name, test in (("ones", lambda x: x == 1), ("twos", lambda x: x == 2), ("some", lambda x: x > 0))]).first()
+        off = {k: discount(found[f"ones_{k}"], found[f"twos_{k}"]) for k in _CLASSES}
+        own = {k: F.greatest(c(f"types_{k}") - off[k], F.lit(0.0)) / sums[f"types_{k}"] for k in _CLASSES}
+        left = {k: off[k] * found[f"some_{k}"] / sums[f"types_{k}"] for k in _CLASSES}
+        telling = F.lit(False)
+        for k, change in zip(_CLASSES, (exact - share, share - exact), strict=True):
+            expected = F.greatest(c(f"expected_{k}") + change * c(f"slope_{k}"), F.lit(0.0))
+            telling |= c(f"types_{k}") - expected > sigmas * F.sqrt(expected + 1)
+        return own, left, telling
+
+    own, left, telling = level(by_stem)
+    stems = by_stem.select(
+        c("word").alias("stem"), c("types").alias("of_stem"), telling.alias("telling"),
+        *[(own[k] + left[k] * c("types") / sums["types"]).alias(f"stem_{k}") for k in _CLASSES],
+    )
+    ratio = lambda name: F.log(f"{name}_toxic") - F.log(f"{name}_ordinary")
+    of_stem = F.when(c("telling"), ratio("stem")).otherwise(0.0)
+    own, left, telling = level(words)
+    told = small(cut(words.where(telling).select(stem.alias("stem"), "word", "types", *[own[k].alias(f"own_{k}") for k in _CLASSES])))
+    told = cut(stems.join(told, "stem").select(
+        "word", of_stem.alias("of_stem"), *[(c(f"own_{k}") + left[k] * c(f"stem_{k}") * c("types") / c("of_stem")).alias(f"p_{k}") for k in _CLASSES]
+    ))
+    # Pairs that end in such a word, with what is known of the word before.
+    pairs = count_pairs(labelled, told.select("word")).join(small(told), "word")
+    histories = histories.select(c("word").alias("before"), *[f"{name}_{k}" for name in ("count", "types") for k in _CLASSES])
+    above = {}
+    for k in _CLASSES:
+        off, seen = discount(sums[f"ones_{k}"], sums[f"twos_{k}"]), c(f"count_{k}")
+        high = (F.greatest(c(k) - off, F.lit(0.0)) + off * c(f"types_{k}") * c(f"p_{k}")) / seen
+        above[k] = F.when(seen > 0, high).otherwise(c(f"p_{k}"))
+    pairs = pairs.join(histories, "before").select("before", "word", (F.log(above["toxic"]) - F.log(above["ordinary"]) - ratio("p")).alias("beyond"))
+
+    def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, word = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_keys(before, word).view(np.int64)), batch.column(2)], ["key", "beyond"])
+
+    table = cut(
+        stems.where("telling").select(c("stem").alias("key"), of_stem.alias("beyond"))
+        .union(told.select(c("word").alias("key"), (ratio("p") - c("of_stem")).alias("beyond")))
+        .union(pairs.mapInArrow(with_keys, "key long, beyond double"))
+    )
+    return Model(table, table.count() // model_words + 1)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -280,7 +352,7 @@ def fit(
         return constant
     labelled = labelled.where("text is not null")
     share = sizes[1]["length"] / (sizes[0]["length"] + sizes[1]["length"])
-    model = _model(cut(_statistics(count_pairs(labelled.where(place != 0)), share)), share, sigmas, model_words)
+    model = bigram_model(labelled.where(place != 0), share, sigmas, model_words)
     if model is None:
         return constant
     model.prior = constant.prior

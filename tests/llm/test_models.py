@@ -286,3 +286,67 @@ def test_mixture_with_clashing_names(spark):
     assert got.columns == ["doc_id", "text", "source", "key", "full", "cut", "place_", "p", "rest", "_parts", "epoch", "n_tokens", "place"]
     assert sorted(tuple(r) for r in got.select("doc_id", "text", "source", "epoch", "n_tokens", "place").collect()) == want
     assert {(r.key, r.cut) for r in got.collect()} == {("own key", "own cut")}
+
+
+def plain_bigrams(rows, sigmas):
+    """log p(toxic) - log p(ordinary) of a pair of words by two Kneser-Ney models, from (text, toxic)."""
+    pairs = {}
+    for text, toxic in rows:
+        words = re.findall(r"[a-z0-9é]+", text)
+        for pair in set(zip([None, *words], words)):
+            pairs.setdefault(pair, [0, 0])[1 - toxic] += 1
+    stem = lambda w: w[: toxicity.STEM] + "-" if len(w) > toxicity.STEM else w + "."
+    q = sum(c[0] for c in pairs.values()) / sum(sum(c) for c in pairs.values())
+    every, probability, telling = len(pairs), [None, None], set()
+
+    def discount(counts):
+        ones, twos = (sum(n == k for n in counts) for k in (1, 2))
+        return ones / (ones + 2 * twos)
+
+    for k in (0, 1):
+        p = None
+        for unit in (stem, lambda w: w):
+            types, seen, expected = Counter(), Counter(), Counter()
+            for (_, word), c in pairs.items():
+                types[unit(word)] += 1
+                seen[unit(word)] += c[k] > 0
+                expected[unit(word)] += 1 - (1 - (1 - q, q)[k == 0]) ** sum(c)
+            telling |= {(p is not None, u) for u in types if seen[u] - expected[u] > sigmas * math.sqrt(expected[u] + 1)}
+            off, n = discount(seen.values()), sum(seen.values())
+            left = off * sum(x > 0 for x in seen.values()) / n
+            below = {u: m / every for u, m in types.items()} if p is None else {u: p[stem(u)] * m / of_stem[stem(u)] for u, m in types.items()}
+            p, of_stem = {u: max(seen[u] - off, 0) / n + left * below[u] for u in types}, types
+            probability[k] = (probability[k] or []) + [p]
+    offs = [discount([c[k] for c in pairs.values()]) for k in (0, 1)]
+    before = [{}, {}]
+    for (h, _), c in pairs.items():
+        for k in (0, 1):
+            n, m = before[k].get(h, (0, 0))
+            before[k][h] = n + c[k], m + (c[k] > 0)
+
+    def ratio(h, w):
+        if (True, w) not in telling:
+            return math.log(probability[0][0][stem(w)] / probability[1][0][stem(w)]) if (False, stem(w)) in telling else 0.0
+        both = [probability[k][1][w] for k in (0, 1)]
+        if (h, w) in pairs:
+            for k in (0, 1):
+                n, m = before[k][h]
+                both[k] = (max(pairs[h, w][k] - offs[k], 0) + offs[k] * m * both[k]) / n if n else both[k]
+        return math.log(both[0] / both[1])
+
+    return ratio, pairs
+
+
+def test_bigrams_are_those_of_two_kneser_ney_models(spark, wide):
+    rows, _ = wide
+    rows = [(i, t.replace("c7 ", "c7 vile ") if y and i % 3 == 0 else t, y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.bigram_model(df, 0.21)
+    ratio, pairs = plain_bigrams([(t, y) for _, t, y in rows], toxicity.SIGMAS)
+    assert ("c7", "vile") in pairs and ratio("c7", "vile") != ratio("unknown", "vile") > 1
+    texts = ["vile", "c7 vile", "c7 c8", "c1 vile c7 vile c7 vile", "tréqunseen unknown", rows[0][1], rows[1][1], rows[45][1]]
+    got = {r.text: r.x for r in model.means(spark.createDataFrame([(t, t) for t in texts], "name string, text string"), "name").withColumnRenamed("name", "text").collect()}
+    for text in texts:
+        words = text.split()
+        found = [ratio(h, w) for h, w in set(zip([None, *words], words))]
+        assert got[text] == pytest.approx(sum(found) / len(found), abs=1e-5)
