@@ -69,6 +69,8 @@ SIGMAS = 4.0
 THRESHOLD = 0.3
 #: One training row in so many is for the logistic curve and not for the counts.
 CALIBRATION = 5
+#: Pairs that a task sums before it hands them on.
+PAIRS = 1_000_000
 #: Bound on the rows for the logistic curve.
 CALIBRATION_ROWS = 20_000
 
@@ -108,33 +110,55 @@ def count_pairs(labelled: DataFrame, words: DataFrame | None = None) -> DataFram
     """(word, before, toxic, ordinary), the words as keys: in how many documents each pair of words occurs, from rows (text, toxic).
 
     With ``words``, rows (word), of pairs that end in one of them.
+
+    Pairs are summed and sorted by their words before they are dealt out by
+    the word and three bits of the word before: neighbours in a shuffle's block
+    then share a word, which compresses, and a frequent word's pairs go to
+    eight tasks.
     """
 
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        before, words, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((before, words))
+        before, words = before[order], words[order]
+        first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (before[1:] != before[:-1])))
+        n_toxic = np.add.reduceat(toxic[order], first)
+        n = np.diff(np.append(first, len(words)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(words[first].view(np.int64)),
+                pa.array(before[first].view(np.int64)),
+                pa.array(n_toxic.astype(np.int32)),
+                pa.array((n - n_toxic).astype(np.int32)),
+            ],
+            ["word", "before", "toxic", "ordinary"],
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting = [], 0
         for batch in batches:
             label = np.asarray(batch.column(1).to_pylist(), np.int64)
-            parts = []
             for block in textblocks.blocks(batch.column(0)):
                 doc, before, words = distinct_pairs(block)
-                parts.append((before, words, label[block.first + doc]))
-            if parts:
-                before, words, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
-                _, first, which = np.unique(_pair_keys(before, words), return_index=True, return_inverse=True)
-                n, n_toxic = np.bincount(which, minlength=len(first)), np.bincount(which, toxic, len(first)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(words[first].view(np.int64)),
-                        pa.array(before[first].view(np.int64)),
-                        pa.array(n_toxic.astype(np.int32)),
-                        pa.array((n - n_toxic).astype(np.int32)),
-                    ],
-                    ["word", "before", "toxic", "ordinary"],
-                )
+                if len(words):
+                    parts.append((before, words, label[block.first + doc]))
+                    waiting += len(words)
+                if waiting >= PAIRS:
+                    yield summed(parts)
+                    parts, waiting = [], 0
+        if parts:
+            yield summed(parts)
 
     found = labelled.select("text", "toxic").mapInArrow(count, "word long, before long, toxic int, ordinary int")
     if words is not None:
         found = found.join(small(words), "word", "left_semi")
-    return found.groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    deal = F.shiftrightunsigned("before", 61)
+    return (
+        found.repartition("word", deal)
+        .groupBy("word", deal.alias("_deal"), "before")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        .drop("_deal")
+    )
 
 
 _CLASSES = ("toxic", "ordinary")
@@ -157,8 +181,6 @@ def _statistics(pairs: DataFrame, share: float) -> DataFrame:
             F.count_if(F.col(c) == 1).alias(f"ones_{c}"),
             F.count_if(F.col(c) == 2).alias(f"twos_{c}"),
         ]
-    if "role" in pairs.columns:
-        return pairs.groupBy("word", "role").agg(*sums, F.count("*").alias("types"))
     return pairs.groupBy("word").agg(*sums, F.count("*").alias("types"))
 
 
@@ -268,10 +290,14 @@ def discount(ones: int, twos: int) -> float:
 def bigram_model(labelled: DataFrame, share: float, sigmas: float = SIGMAS, model_words: int = MODEL_WORDS) -> Model | None:
     """From rows (text, toxic); ``share`` is about the toxic class's share of all counts.  None while a class has no word."""
     c = F.col
-    ends = F.explode(F.array(F.struct(c("word"), F.lit(0).alias("role")), F.struct(c("before").alias("word"), F.lit(1).alias("role"))))
-    stats = cut(_statistics(count_pairs(labelled).select(ends.alias("end"), "toxic", "ordinary").select("end.*", "toxic", "ordinary"), share))
-    words, histories = (stats.where(c("role") == role).drop("role") for role in (0, 1))
+    pairs = count_pairs(labelled)
+    words = _statistics(pairs, share)
+    seen = [x for k in _CLASSES for x in (F.sum(k).alias(f"count_{k}"), F.count_if(c(k) > 0).alias(f"types_{k}"))]
+    histories = pairs.groupBy(c("before").alias("word")).agg(*seen)
     summed = [x for x in words.columns if x != "word"]
+    # One job, so that both read one shuffle of the pairs; of the words before only what the back-off weights need is shuffled.
+    stats = cut(words.withColumn("role", F.lit(0)).unionByName(histories.withColumn("role", F.lit(1)), allowMissingColumns=True))
+    words, histories = (stats.where(c("role") == role).drop("role") for role in (0, 1))
     sums = words.agg(*[F.sum(x).alias(x) for x in summed]).first()
     if not sums["types_toxic"] or not sums["types_ordinary"]:
         return None

@@ -350,3 +350,36 @@ def test_bigrams_are_those_of_two_kneser_ney_models(spark, wide):
         words = text.split()
         found = [ratio(h, w) for h, w in set(zip([None, *words], words))]
         assert got[text] == pytest.approx(sum(found) / len(found), abs=1e-5)
+
+
+def test_bigrams_shuffle_less_than_two_keys_for_each_pair(spark):
+    """Pairs are sent once, sorted by word; of the words before only what their back-off weights need."""
+    rng = random.Random(5)
+    parts = [[(" ".join(f"w{rng.randrange(600)}" for _ in range(150)), int(i % 8 == 0)) for i in range(700)] for _ in range(2)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, 2).flatMap(list), "text string, toxic int")
+    pairs = sum(len({pair for text, _ in rows for pair in zip([None, *text.split()], text.split())}) for rows in parts)
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    toxicity.bigram_model(df, 0.125)
+    assert 0 < written() - before < 14.5 * pairs
+
+
+def test_pairs_are_summed_over_several_hand_overs(spark, monkeypatch):
+    """However few pairs a task sums at once, and where a word follows many: all counts are those of plain Python."""
+    rows = [(f"w{i % 7} hub {'x' * (i % 3 + 1)} hub y{i} hub w{i % 7} hub", int(i % 4 == 0)) for i in range(3000)]
+    monkeypatch.setattr(toxicity, "PAIRS", 500)
+    want = Counter()
+    for text, toxic in rows:
+        words = text.split()
+        for pair in set(zip([None, *words], words)):
+            want[(*pair, toxic)] += 1
+    got = toxicity.count_pairs(spark.createDataFrame(rows, "text string, toxic int").repartition(3)).collect()
+    assert len(got) == len({(r.word, r.before) for r in got}) == len({k[:2] for k in want})
+    pairs = Counter((want[(*k, 1)], want[(*k, 0)]) for k in {k[:2] for k in want})
+    assert Counter((r.toxic, r.ordinary) for r in got) == pairs
