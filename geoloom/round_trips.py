@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +11,12 @@ from .operators import combine, overview, select, shapes, summarise
 from .project import Project
 from .queries import CUST, EVENTS, METRES, NATIONS, RECTS, customers, customers_xy, events_xy, nations, rects, register
 from .sources import cad, catalog, delimited, files, geojson
-from .sources.place import local_path
+from .sources.place import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the folder that driver and executors share; where none is set, on one machine, in a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    # Executors of local-cluster have temporary folders of their own, as those of any cluster.
-    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        folder = tempfile.gettempdir()
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = f"{folder.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
-    local = local_path(made)
-    if local:
-        os.makedirs(local)
-    return f"{local or made}/{name}"
+    return f"{shared_folder(spark)}/{name}"
 
 
 def _points(lay: Layer) -> DataFrame:

@@ -521,3 +521,50 @@ def test_files_are_written_where_executors_find_them(spark, tmp_path, graded):
         assert files.read_shapefile(spark, f"{folder}/p.shp").df.count() == 3
         assert cad.read_dxf(spark, f"{folder}/p.dxf").df.count() == 3
     assert not [p for p in tmp_path.iterdir() if p.name.endswith(".new")]
+
+
+def test_shapefiles_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Records of all kinds, in pieces smaller than the file, by a path of this machine and by one that only Hadoop opens; no task holds the file."""
+    box = "POLYGON (({0} 0, {0} 1, {1} 1, {1} 0, {0} 0))"
+    many = [(i, f"n{i}", float(i) if i % 7 else None, box.format(i, i + 2)) for i in range(1, 301)]
+    odd = [(301, None, None, None), (302, "hole", 1.0, "POLYGON ((0 0, 0 9, 9 9, 9 0, 0 0), (1 1, 2 1, 2 2, 1 1))"), (303, "big", 2.5, "POLYGON ((" + ", ".join(f"{i} {i * i}" for i in range(400)) + ", 0 0))"), (304, "none", 0.0, "POLYGON EMPTY")]
+    lay = make(spark, (many + odd)[::-1], ["name string", "n double"], kind="POLYGON", name="areas")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.pieces.link./p", f"file://{tmp_path}")
+    files.write_shapefile(lay, str(tmp_path / "x.shp"))
+    raw, index = (tmp_path / "x.shp").read_bytes(), (tmp_path / "x.shx").read_bytes()
+    at = np.frombuffer(index[100:], ">i4").reshape(-1, 2)
+    assert len(at) == 304 and [int.from_bytes(raw[2 * a : 2 * a + 4], "big") for a in at[:, 0]] == list(range(1, 305))
+    assert 2 * int.from_bytes(raw[24:28], "big") == len(raw) and np.frombuffer(raw[36:68], "<f8").tolist() == [0, 0, 399, 399 * 399]
+    expected = [(i, name or "", n, None if w in (None, "POLYGON EMPTY") else w) for i, name, n, w in many + odd]
+    whole = files.read_shapefile(spark, str(tmp_path / "x.shp")).df
+    monkeypatch.setattr(files, "PIECE_BYTES", 1000)
+    monkeypatch.setattr(files, "PIECE_ROWS", 50)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 10_000)  # Spark then reads no longer file whole
+    try:
+        assert len(raw) > 40_000
+        for df in (whole, *(files.read_shapefile(spark, f"{folder}/x.shp").df for folder in (str(tmp_path), f"file://{tmp_path}", "viewfs://pieces/p"))):
+            assert [tuple(r) for r in df.orderBy("fid").select("fid", "name", "n", geometry.to_wkt("geom")).collect()] == expected
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    pieces = files.read_shapefile(spark, str(tmp_path / "x.shp")).df
+    assert pieces.rdd.getNumPartitions() > 30 and "BroadcastHashJoin" not in lay.df.join(pieces, "fid")._jdf.queryExecution().executedPlan().toString()
+    files.write_shapefile(lay.with_df(lay.df.where("fid < 9")), str(tmp_path / "x.shp"))
+    with pytest.raises(Exception, match="source has changed"):
+        pieces.collect()
+    with pytest.raises(LayerError, match="mixed"):
+        files.write_shapefile(lay.with_df(lay.df, geometry_type="POINT"), str(tmp_path / "x.shp"))
+    assert files.read_shapefile(spark, str(tmp_path / "x.shp")).df.count() == 8
+
+
+@pytest.mark.parametrize(("kind", "one"), [("POINT", "POINT ({0} 2)"), ("LINESTRING", "LINESTRING ({0} 0, 1 {0})")])
+def test_records_of_one_size_are_those_of_each(spark, kind, one):
+    """Bytes and bounds of many geometries at once, of other byte orders, of Z and of none among them, as of each by itself."""
+    plain = [codec.encode(codec.parse_wkt(one.format(i))) for i in range(20)]
+    big = b"\x00" + plain[3][4:0:-1] + (plain[3][8:4:-1] if kind == "LINESTRING" else b"") + np.frombuffer(plain[3][-16 * (1 + (kind == "LINESTRING")) :], "<f8").astype(">f8").tobytes()
+    geoms = [*plain, None, big, *plain[:5]]
+    each = [files._bodies(kind, [g])[0][0] for g in geoms]
+    bodies, low, high = files._bodies(kind, geoms)
+    assert bodies == each and bodies[21] == bodies[3] and low.tolist() == [0, 0 if kind == "LINESTRING" else 2] and high.tolist() == [19, 19 if kind == "LINESTRING" else 2]
+    data = bytes(100) + b"".join(i.to_bytes(4, "big") + (len(b) // 2).to_bytes(4, "big") + b for i, b in enumerate(bodies, 1))
+    assert list(files.parse_shapes(data)) == [*plain, None, plain[3], *plain[:5]]
+    assert None in files._bodies(kind, [*plain, codec.encode(codec.parse_wkt("POLYGON ((0 0, 0 1, 1 1, 0 0))"))])[0]
