@@ -92,6 +92,8 @@ def on_driver(spark: SparkSession, *paths: str) -> Iterator[list[str]]:
         for i, path in enumerate(paths):
             name = machine_path(spark, path)
             if name is None:
+                if not exists(spark, path):
+                    raise FileNotFoundError(path)
                 name = os.path.abspath(f"{folder}/{i}")
                 fs, place = _file_system(spark, path)
                 fs.copyToLocalFile(False, place(path), place(f"file://{name}"), True)

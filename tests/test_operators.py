@@ -554,6 +554,9 @@ def test_shapefiles_are_read_in_pieces(spark, tmp_path, monkeypatch):
     with pytest.raises(LayerError, match="mixed"):
         files.write_shapefile(lay.with_df(lay.df, geometry_type="POINT"), str(tmp_path / "x.shp"))
     assert files.read_shapefile(spark, str(tmp_path / "x.shp")).df.count() == 8
+    for folder in (str(tmp_path), "viewfs://pieces/p"):
+        with pytest.raises(FileNotFoundError):
+            files.read_shapefile(spark, f"{folder}/none.shp")
 
 
 @pytest.mark.parametrize(("kind", "one"), [("POINT", "POINT ({0} 2)"), ("LINESTRING", "LINESTRING ({0} 0, 1 {0})")])
